@@ -36,3 +36,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_folder(spark), f"shobdo-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Runs of items whose sizes sum to at most `most` (or one larger item)."""
+    out, k = [], 0
+    while k < len(sizes):
+        end, total = k, 0
+        while end < len(sizes) and (end == k or total + sizes[end] <= most):
+            total += sizes[end]
+            end += 1
+        out.append((k, end))
+        k = end
+    return out
+
+
+#: Code points that the word operators hold at a time, which bounds a worker's memory
+BLOCK_CHARS = 2_000_000
+
+
+def text_blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> list[tuple[int, int]]:
+    return blocks([len(t or "") for t in texts], most)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .leakage import leaked_items
+from .lookalike import lookalike_pairs, spellings, with_consistent_text
 from .tokenize import encode_corpus
 
 
@@ -14,5 +16,28 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_ids": p6_ids}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(table(spark, sf_dir, "corpus_records"))
+
+
+def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_consistent_text(table(spark, sf_dir, "corpus_records").select("record_id", "text")).drop("text")
+
+
+def p2_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings(table(spark, sf_dir, "corpus_records"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (p2_found, p2_consistent, p2_spellings, p6_ids, p7_found, p7_spans)
+}
 SQL: dict[str, str] = {}

@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import blocks, shared_folder
 
 TOKENIZERS = "/opt/tokenizers"
 #: The lexicon's bound: this many units at most are compiled, sent and mapped, whatever the corpus's size.
@@ -202,19 +202,6 @@ def map_lexicon(path: str) -> tuple[Transducer, np.ndarray, np.ndarray]:
 # ------------------------------------------------------------------ encoding
 
 
-def _blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
-    """Runs of items whose sizes sum to at most `most` (or one larger item)."""
-    out, k = [], 0
-    while k < len(sizes):
-        end, total = k, 0
-        while end < len(sizes) and (end == k or total + sizes[end] <= most):
-            total += sizes[end]
-            end += 1
-        out.append((k, end))
-        k = end
-    return out
-
-
 def encode_block(texts: list[str | None], lexicon: tuple | None, vocabulary: str, most: int = BLOCK_IDS):
     """Yields (first, end, ids, offsets): the ids of texts[first:end] as one array and each text's offsets in it."""
     enc = encoder(vocabulary)
@@ -239,7 +226,7 @@ def encode_block(texts: list[str | None], lexicon: tuple | None, vocabulary: str
     pool = np.concatenate([known, np.fromiter(chain.from_iterable(merged), np.int32, int(lengths[unseen].sum()))])
     ends = np.concatenate([[0], np.cumsum(lengths[index], dtype=np.int64)])
     bounds = ends[cuts]
-    for first, end in _blocks(np.diff(bounds).tolist(), most):
+    for first, end in blocks(np.diff(bounds).tolist(), most):
         # every unit's run of ids, copied in order
         own = index[cuts[first] : cuts[end]]
         each = lengths[own]
@@ -265,7 +252,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k
         lexicon = map_lexicon(SparkFiles.get(name)) if name else None
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _blocks([len(t or "") for t in texts], BLOCK_CHARS):
+            for a, b in blocks([len(t or "") for t in texts], BLOCK_CHARS):
                 for first, end, ids, bounds in encode_block(texts[a:b], lexicon, vocabulary):
                     lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))
                     yield pa.RecordBatch.from_arrays([keys.slice(a + first, end - first), lists], ["doc_id", "ids"])
