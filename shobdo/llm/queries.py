@@ -9,9 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .leakage import leaked_items
 from .lookalike import lookalike_pairs, spellings, with_consistent_text
+from .mojibake import garbled_records, restored_texts
+from .neardup import NearDuplicates
 from .tokenize import encode_corpus
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_records(table(spark, sf_dir, "corpus_records"))
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restored_texts(table(spark, sf_dir, "corpus_records"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(table(spark, sf_dir, "documents"), n=3, threshold=0.5).pairs().select("doc_a", "doc_b")
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8).classes()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -38,6 +56,6 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_consistent, p2_spellings, p6_ids, p7_found, p7_spans)
+    for f in (p2_found, p2_consistent, p2_spellings, p3_found, p3_restored, p5_found, p5_classes, p6_ids, p7_found, p7_spans)
 }
 SQL: dict[str, str] = {}
