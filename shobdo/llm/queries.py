@@ -11,6 +11,7 @@ from .leakage import leaked_items
 from .lookalike import lookalike_pairs, spellings, with_consistent_text
 from .mojibake import garbled_records, restored_texts
 from .neardup import NearDuplicates
+from .reading import profile, reading_levels, train
 from .tokenize import encode_corpus
 
 
@@ -54,8 +55,18 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return reading_levels(docs, train(docs, table(spark, sf_dir, "reading_grades"))).select("doc_id", "level")
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return profile(docs, p8_levels(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_consistent, p2_spellings, p3_found, p3_restored, p5_found, p5_classes, p6_ids, p7_found, p7_spans)
+    for f in (p2_found, p2_consistent, p2_spellings, p3_found, p3_restored, p5_found, p5_classes, p6_ids, p7_found, p7_spans, p8_levels, p8_profile)
 }
 SQL: dict[str, str] = {}
