@@ -11,6 +11,7 @@ from .leakage import leaked_items
 from .lookalike import lookalike_pairs, spellings, with_consistent_text
 from .mojibake import garbled_records, restored_texts
 from .neardup import NearDuplicates
+from .overlap import CrossSplitOverlap, overlap_report
 from .reading import profile, reading_levels, train
 from .tokenize import encode_corpus
 
@@ -35,6 +36,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CrossSplitOverlap(table(spark, sf_dir, "corpus_records")).pairs().select("record_a", "record_b")
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_report(table(spark, sf_dir, "corpus_records"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "corpus_records"))
 
@@ -67,6 +76,6 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_consistent, p2_spellings, p3_found, p3_restored, p5_found, p5_classes, p6_ids, p7_found, p7_spans, p8_levels, p8_profile)
+    for f in (p1_found, p1_report, p2_found, p2_consistent, p2_spellings, p3_found, p3_restored, p5_found, p5_classes, p6_ids, p7_found, p7_spans, p8_levels, p8_profile)
 }
 SQL: dict[str, str] = {}
