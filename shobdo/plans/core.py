@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import parse_queries
+from . import noise_queries, parse_queries
 
-QUERIES = {**parse_queries.QUERIES}
-SQL = {**parse_queries.SQL}
+_MODULES = (noise_queries, parse_queries)
+QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
