@@ -221,6 +221,8 @@ def grid_sql(severities: list[int], seeds: list[int]) -> str:
 
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores where the input has fewer splits than there are; large inputs stay as they are."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
