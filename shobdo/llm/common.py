@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +58,16 @@ BLOCK_CHARS = 2_000_000
 
 def text_blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> list[tuple[int, int]]:
     return blocks([len(t or "") for t in texts], most)
+
+
+#: Compressed bytes of input that one bucket of packed n-grams stands for, and the least number of buckets
+BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 48
+_UNKNOWN = 1 << 60
+
+
+def bucket_count(df: DataFrame, key: str) -> int:
+    """Buckets in proportion to the input: by the plan's own statistics, or by a scan where it has none."""
+    size = int(str(df.select(key, "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= _UNKNOWN:
+        size = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+    return max(LEAST_BUCKETS, size // BUCKET_BYTES)

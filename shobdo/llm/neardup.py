@@ -26,14 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_blocks, written
+from .common import bucket_count, cut, text_blocks, written
 from .consistent import Words, mix
 
 #: An n-gram of so many distinct texts of a block is sent as a marker instead of per text
 HOT = 16
-#: Bytes of input a bucket stands for
-BUCKET_BYTES = 2 << 20
-LEAST_BUCKETS = 48
 MOST_FREQUENT = (1 << 31) - 1
 _NUDGE = 1e-9  # ceil() of products such as 0.8 * 5
 
@@ -142,8 +139,7 @@ def _count_bucket(table: pa.Table) -> pa.Table:
 
 def repeated_grams(docs: DataFrame, n: int) -> DataFrame:
     """Written table: rows with gram set are repeated n-grams of the text `ref`; the others are the documents."""
-    input_bytes = int(str(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n_buckets = max(LEAST_BUCKETS, input_bytes // BUCKET_BYTES)
+    n_buckets = bucket_count(docs, "doc_id")
 
     def send(batches):
         base = TaskContext.get().partitionId() << 40
