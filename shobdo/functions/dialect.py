@@ -8,6 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 _names = count()
 
 
@@ -202,3 +205,14 @@ def bound(steps: Steps, outputs: list[str]) -> str:
     for name, expr in reversed(steps):
         body = f"get(transform(array({expr}), {name} -> {body}), 0)"
     return body
+
+
+def staged(df: DataFrame, steps: Steps) -> DataFrame:
+    """The rows with one column a step, each evaluated once a row.
+
+    A generator of one row parts the projections, which would otherwise be merged; long chains as one expression (see
+    bound) cost more with every level, because array functions derive their types from their lambdas again and again.
+    """
+    for name, expr in steps:
+        df = df.select("*", F.inline(F.array(F.struct(F.expr(expr).alias(name)))))
+    return df

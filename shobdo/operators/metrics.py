@@ -12,26 +12,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maps
-from ..functions.dialect import SPARK, bound
+from ..functions.dialect import SPARK, staged
 from .noise import perturb
 from .prepare import sample
 
 
 def _coded(units: str) -> str:
     # a character beyond U+4E00 for each entry of the pair's dictionary
-    return SPARK.join(SPARK.each(units, lambda c, i: f"decode(unhex(hex(19967 + array_position(dict, {c}))), 'UTF-16BE')"))
+    return SPARK.join(SPARK.each(units, lambda c, i: f"decode(unhex(hex(19967 + array_position(_dict, {c}))), 'UTF-16BE')"))
 
 
 def with_distance(df: DataFrame, a: str, b: str) -> DataFrame:
     """A1, A2: the columns distance and cer of two NFC text columns; cer is relative to the first and may exceed 1."""
     steps = [
-        ("ua", SPARK.find_all(a, maps.CLUSTER)), ("ub", SPARK.find_all(b, maps.CLUSTER)),
-        ("dict", "array_distinct(concat(ua, ub))"), ("n", "size(ua)"),
-        ("distance", f"levenshtein({_coded('ua')}, {_coded('ub')})"),
-        ("cer", "distance / CAST(greatest(1, n) AS DOUBLE)"),
+        ("_ua", SPARK.find_all(f"`{a}`", maps.CLUSTER)), ("_ub", SPARK.find_all(f"`{b}`", maps.CLUSTER)), ("_dict", "array_distinct(concat(_ua, _ub))"),
+        ("distance", f"levenshtein({_coded('_ua')}, {_coded('_ub')})"),
+        ("cer", "distance / CAST(greatest(1, size(_ua)) AS DOUBLE)"),
     ]
-    r = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.expr(bound(steps, ["distance", "cer"])))
-    return df.withColumn("_r", r).select(*df.columns, "_r.distance", "_r.cer")
+    return staged(df, steps).select(*df.columns, "distance", "cer")
 
 
 def capped(df: DataFrame, text: str = "text", cap: int = maps.CER_CAP) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import maps
-from ..functions.dialect import SPARK, Spark, Steps, bound
+from ..functions.dialect import SPARK, Spark, Steps, bound, staged
 from ..functions.text import nfc
 
 
@@ -228,19 +228,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def eligible_units(df: DataFrame, noise_type: str, text: str = "text") -> DataFrame:
-    """The rows with t and a struct u of units and eligibility, once for all severities and seeds."""
-    steps = unit_steps(SPARK, noise_type)
-    return spread(df).withColumn("t", nfc(F.col(text))).withColumn("u", F.expr(bound(steps, [n for n, _ in steps])))
+    """The rows with t, units and eligibility, once for all severities and seeds."""
+    return staged(spread(df).withColumn("t", nfc(F.col(text))), unit_steps(SPARK, noise_type))
 
 
 def perturb(df: DataFrame, noise_type: str, severities: list[int], seeds: list[int], text: str = "text") -> DataFrame:
     """A row for every input row, severity and seed: its columns, severity, seed, noised and the statistics."""
     _check_type(noise_type)
     grid = df.sparkSession.sql(grid_sql(severities, seeds))  # at most five severities by the seeds
-    out = eligible_units(df, noise_type, text).crossJoin(F.broadcast(grid))
-    before = [(n, f"u.{n}") for n, _ in unit_steps(SPARK, noise_type)]
-    r = F.expr(bound([*before, *rewrite_steps(SPARK, noise_type)], ["noised", *STATS]))
-    return out.withColumn("r", r).select(*df.columns, F.lit(noise_type).alias("noise_type"), "severity", "seed", "t", "r.*")
+    # the caller's columns stay in a struct, so that no step's name clashes with them
+    own = spread(df).select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text).alias("text"))
+    out = staged(eligible_units(own, noise_type).crossJoin(F.broadcast(grid)), rewrite_steps(SPARK, noise_type))
+    return out.select("row.*", F.lit(noise_type).alias("noise_type"), "severity", "seed", "t", "noised", *STATS)
 
 
 def emoji_steps(d: Spark, mode: str) -> Steps:

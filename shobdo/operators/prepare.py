@@ -69,7 +69,7 @@ def with_splits(cleaned: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
     """Shipped splits (rows without one dropped), else a seeded split stratified by label.
 
     The order within a label is a hash of seed and id, so the split depends on neither input order nor partitioning;
-    cuts are at round-half-even of 70 and 10 percent.
+    cuts are at round-half-even of 70 and 10 percent.  The rows are read twice: persist or write them before.
     """
     shipped = cleaned.where(F.col("dataset").isin(*SHIPPED) & F.col("src_split").isin("train", "val", "test")).withColumn("final_split", F.col("src_split"))
     rest = cleaned.where(~F.col("dataset").isin(*SHIPPED) & F.col("label").isNotNull())

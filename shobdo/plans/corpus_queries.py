@@ -114,7 +114,8 @@ _SPLIT = f"""SELECT id, dataset, label, src_split AS final_split FROM ({_VERDICT
 
 
 def _split(spark, d):
-    return prepare.with_splits(prepare.cleaned_all(records(spark, d)).where("verdict = ''"))
+    # the split reads the cleaned rows twice: for the counts of hash buckets, and for the ranks in them
+    return prepare.with_splits(prepare.cleaned_all(records(spark, d)).where("verdict = ''").persist())
 
 
 @query(f"SELECT id, dataset, final_split FROM ({_SPLIT})")
