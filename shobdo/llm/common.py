@@ -61,7 +61,7 @@ def text_blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> list[tuple[
 
 
 #: Compressed bytes of input that one bucket of packed n-grams stands for, and the least number of buckets
-BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 48
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 48
 _UNKNOWN = 1 << 60
 
 

@@ -99,8 +99,8 @@ def consistent(text: str | None) -> str | None:
     if text is None:
         return None
     if _ODD.search(text):
-        if "\u09a4\u09cd\u200d" in text:
-            text = re.sub("\u09a4\u09cd\u200d(?![\u0995-\u09b9])", "\u09ce", text)
+        # drawn as khanda ta, also before a consonant
+        text = text.replace("\u09a4\u09cd\u200d", "\u09ce")
         text = unicodedata.normalize("NFKC", _DROP.sub(_drop, text))
         text = text.replace("অা", "আ").replace("ঋৃ", "ৠ")
         if _FOREIGN.search(text):

@@ -9,7 +9,7 @@ from shobdo.llm.lookalike import lookalike_pairs, spellings, with_consistent_tex
 def test_forms_that_look_the_same_meet():
     same = [
         ("рһоtо", "photo"), ("ＵΡＤΑΤＥ", "UPDATE"), ("résumé", "résumé"), ("a b c", "a b c"), ("প্রব​লেম", "প্রবলেম"),
-        ("ড়", "ড়"), ("কো", "কো"), ("অামি", "আমি"), ("হঠাৎ", "হঠাত্‍"), ("ﬁnal", "final"), ("СLIСНÉ", "CLICHÉ"),
+        ("ড়", "ড়"), ("কো", "কো"), ("অামি", "আমি"), ("হঠাৎ", "হঠাত্‍"), ("ﬁnal", "final"), ("উ\u09a4\u09cd\u200dসব", "উৎসব"), ("СLIСНÉ", "CLICHÉ"),
     ]
     for a, b in same:
         assert consistent(a) == consistent(b), (a, b)
