@@ -83,6 +83,17 @@ def rank_inversion(runs: DataFrame, metric: str = "macro_f1") -> DataFrame:
     return m.where("clean is not null and noisy is not null").withColumns({"rank_clean": rank("clean"), "rank_noisy": rank("noisy")})
 
 
+def noise_slopes(runs: DataFrame, metric: str = "macro_f1") -> DataFrame:
+    """Spec-only: mean over noisy cells, least-squares slope on severity and rank correlation of both, by task and model."""
+    w = Window.partitionBy("task", "model")
+    # ranks of ties are averaged
+    rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("task", "model", c)) - 1) / 2
+    r = runs.select("task", "model", "severity", F.col(metric).alias("m"), rank("severity").alias("rs"), rank(metric).alias("rm"))
+    return r.groupBy("task", "model").agg(
+        F.avg(F.when(F.col("severity") > 0, F.col("m"))).alias("mean_noise"), F.regr_slope("m", F.col("severity")).alias("slope"), F.corr("rs", "rm").alias("spearman"),
+    )
+
+
 def best_models(runs: DataFrame, metric: str = "macro_f1") -> DataFrame:
     """W8."""
     return clean_baseline(runs, metric).groupBy("task").agg(F.max_by("model", F.struct("mean", "model")).alias("best_model"), F.max("mean").alias("best"))

@@ -99,6 +99,15 @@ def n5_firing(records: DataFrame, by: str = "dataset") -> DataFrame:
     return rows.groupBy(by, "homophone_set").agg(F.sum("n").alias("n_eligible"), F.count_if(F.col("n") > 0).alias("texts_with_ge1"), (F.lit(1000.0) * F.sum("n") / F.count("*")).alias("eligible_per_1k_texts"))
 
 
+def matra_round_trip(df: DataFrame, by: str, normalize=None) -> DataFrame:
+    """Two-part vowel signs before and after NFC (or a pluggable normaliser), and texts in which their number changes."""
+    from ..functions.text import nfc
+
+    n = lambda c: F.regexp_count(c, F.lit("[োৌ]|ে[াৗ]"))
+    t = df.where("text is not null").select(by, F.col("text").alias("t"), (normalize or nfc)(F.col("text")).alias("z")).select(by, n("t").alias("a"), F.regexp_count("z", F.lit("[োৌ]")).alias("b"))
+    return t.groupBy(by).agg(F.sum("a").alias("n_before"), F.sum("b").alias("n_after"), F.count_if(F.col("a") != F.col("b")).alias("n_failing"))
+
+
 def touched(df: DataFrame, normalize, by: str, text: str = "text") -> DataFrame:
     """Rows that a pluggable normaliser (Column -> Column) changes, their share and how it changes them."""
     from ..functions.text import char_class_counts, nfc

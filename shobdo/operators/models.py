@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import CountVectorizer, IDF, Normalizer
 from pyspark.sql import DataFrame
@@ -28,18 +28,27 @@ def char_ngrams(text: str = "text", low: int = 2, high: int = 5):
     return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*(grams(w, n) for n in range(low, high + 1))))))
 
 
-def fit(train: DataFrame, vocabulary: int = 50_000) -> Model:
+#: Training rows that one task holds
+ROWS_A_TASK = 5_000
+
+
+def fit(train: DataFrame, vocabulary: int = 50_000, iterations: int = 20) -> Model:
     """L1, L2: counts of n-grams in at least two texts, idf, unit length, a linear SVM with balanced class weights."""
     n = train.count()
     labels = train.groupBy("label").count()
     k = labels.count()
     weighted = train.join(F.broadcast(labels.withColumn("weight", F.lit(n) / (k * F.col("count"))).drop("count")), "label")  # a row a class
-    svm = LinearSVC(maxIter=30, regParam=1.0 / max(n, 1), weightCol="weight")
-    stages = [
+    # features once, in few partitions: every iteration of every class reads them
+    parts = max(1, min(weighted.rdd.getNumPartitions(), n // ROWS_A_TASK + 1))
+    grams = weighted.withColumn("grams", char_ngrams()).select("grams", F.col("label").cast("double").alias("label"), "weight").coalesce(parts)
+    features = Pipeline(stages=[
         CountVectorizer(inputCol="grams", outputCol="tf", minDF=2.0, vocabSize=vocabulary), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features"),
-        OneVsRest(classifier=svm, weightCol="weight", parallelism=1),
-    ]
-    return Pipeline(stages=stages).fit(weighted.withColumn("grams", char_ngrams()).withColumn("label", F.col("label").cast("double")))
+    ]).fit(grams)
+    ready = features.transform(grams).select("features", "label", "weight").persist()
+    svm = LinearSVC(maxIter=iterations, regParam=1.0 / max(n, 1), weightCol="weight")
+    model = OneVsRest(classifier=svm, weightCol="weight", parallelism=3).fit(ready)
+    ready.unpersist()
+    return PipelineModel([features, model])
 
 
 def predictor(model: Model) -> Callable[[DataFrame], DataFrame]:

@@ -252,3 +252,56 @@ def deletion_curve(spark, d):
 def normalizer_touch(spark, d):
     """A stand-in normaliser (blanks collapsed, dandas unified) through the pluggable hook."""
     return metrics.touched(records(spark, d), lambda t: F.regexp_replace(F.regexp_replace(t, "॥", "।"), "(?U)\\s+", " "), "dataset")
+
+
+@query("""SELECT dataset, CAST(sum(a) AS BIGINT) AS n_before, CAST(sum(b) AS BIGINT) AS n_after, sum((a <> b)::INT) AS n_failing FROM (SELECT dataset, len(regexp_extract_all(text, '[\u09cb\u09cc]|\u09c7[\u09be\u09d7]')) AS a,
+  len(regexp_extract_all(nfc_normalize(text), '[\u09cb\u09cc]')) AS b FROM corpus_records WHERE text IS NOT NULL) GROUP BY 1""")
+def matra_round_trip(spark, d):
+    return metrics.matra_round_trip(records(spark, d), "dataset")
+
+
+@query(f"""WITH {_R}, r AS (SELECT task, model, severity, macro_f1 AS m, rank() OVER (PARTITION BY task, model ORDER BY severity) + (count(*) OVER (PARTITION BY task, model, severity) - 1) / 2.0 AS rs,
+    rank() OVER (PARTITION BY task, model ORDER BY round(macro_f1, 12)) + (count(*) OVER (PARTITION BY task, model, round(macro_f1, 12)) - 1) / 2.0 AS rm FROM runs)
+  SELECT task, model, round(avg(m) FILTER (WHERE severity > 0), 9) AS mean_noise, round(regr_slope(m, severity), 9) AS slope, round(corr(rs, rm), 9) AS spearman FROM r GROUP BY 1, 2""")
+def noise_slopes(spark, d):
+    runs = _runs(spark, d).withColumn("macro_f1", F.round("macro_f1", 12))
+    return rounded(analysis.noise_slopes(runs), "mean_noise", "slope", "spearman")
+
+
+def _labelled(spark, d, split: str):
+    """Distinct labelled texts of the dataset that ships its splits."""
+    rows = records(spark, d).where(f"dataset = 'sentnob' and split = '{split}' and label is not null and trim(text) <> ''")
+    return rows.groupBy("text").agg(F.min("label").alias("label"), F.min("id").alias("id"))
+
+
+@query()
+def char_ngram_svm(spark, d):
+    """Predictions of the n-gram classifier on the test split of the dataset that ships its splits."""
+    from ..operators import models
+
+    predict = models.predictor(models.fit(_labelled(spark, d, "train")))
+    return predict(_labelled(spark, d, "test")).select("id", F.col("label").alias("y_true"), "y_pred")
+
+
+@query()
+def noise_grid_eval(spark, d):
+    """Its metrics on clean text and on every noise type at severities 1 to 5, one plan."""
+    from ..operators import models
+
+    predict = models.predictor(models.fit(_labelled(spark, d, "train")))
+    return models.evaluate_grid(_labelled(spark, d, "test"), predict, [1, 2, 3, 4, 5], 42)
+
+
+@query()
+def augmented_train(spark, d):
+    """The training split with half of its rows noised by types of the first group."""
+    from ..operators import models
+
+    return models.train_variant(_labelled(spark, d, "train"), "augmented_n1n4", 42)
+
+
+@query()
+def keyboard_adjacency(spark, d):
+    from ..operators.keyboard import adjacency
+
+    return adjacency(spark, ["qwertyuiop", "asdfghjkl", "zxcvbnm"])
