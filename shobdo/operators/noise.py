@@ -220,11 +220,16 @@ def grid_sql(severities: list[int], seeds: list[int]) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where the input has fewer splits than there are; large inputs stay as they are."""
+    """The rows over all cores where the input is too small to be split among them; larger inputs stay as they are.
+
+    Decided by the plan's own size, so nothing runs for it; streams and plans without a size stay as they are."""
+    spark = df.sparkSession
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
 
 
 def eligible_units(df: DataFrame, noise_type: str, text: str = "text") -> DataFrame:
@@ -237,7 +242,7 @@ def perturb(df: DataFrame, noise_type: str, severities: list[int], seeds: list[i
     _check_type(noise_type)
     grid = df.sparkSession.sql(grid_sql(severities, seeds))  # at most five severities by the seeds
     # the caller's columns stay in a struct, so that no step's name clashes with them
-    own = spread(df).select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text).alias("text"))
+    own = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text).alias("text"))
     out = staged(eligible_units(own, noise_type).crossJoin(F.broadcast(grid)), rewrite_steps(SPARK, noise_type))
     return out.select("row.*", F.lit(noise_type).alias("noise_type"), "severity", "seed", "t", "noised", *STATS)
 
