@@ -3,15 +3,15 @@
 Texts are reduced to their letters, marks and digits.  Of the suffixes of all texts a third is kept, chosen by content (the
 least hash of every `WINDOW` neighbours), so that any shared span of SPAN + WINDOW - 1 letters puts the same
 suffixes in both texts.  Suffixes go to partitions by the hash of their first SPAN letters, thirteen packed bytes each,
-and are sorted there, ties by length and place of the text; neighbours of different splits with that prefix in
+and are sorted there by band of length and place in the text; all suffixes of different splits with that prefix in
 common at compatible places are shared spans.  Spans are merged into the coverage of each pair of records, and
 pairs with enough of it are verified once by edit distance.
 
 Defined results: rows without text, split or id and texts of fewer than five words never count; a null dataset
 is a dataset; equal texts pair; copies of one text stand for one class whose members are written out at the end; any
-length.  What is found: every pair within the distance that shares a span of SPAN + WINDOW - 1 = 14 letters in
-a group of at most `GROUP` suffixes, or at neighbouring places of a larger group; pairs whose edits leave no such
-span are not proposed.
+length.  What is found: every pair within the distance that shares a span of SPAN + WINDOW - 1 = 14 letters, whatever
+number of texts has it, if shared spans cover COVERAGE of the longer text; pairs whose edits leave no such span are not
+proposed.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +33,11 @@ from .common import bucket_count, text_blocks, written
 from .consistent import Words, codes, consistent, mix
 
 SPAN, WINDOW = 10, 5
-#: All pairs of a group up to this size are compared, and neighbours up to NEAR places off in larger ones
-GROUP, NEAR = 16, 8
 MOST_EDITS = 0.15
+#: Lengths of one pair are in one band or in neighbouring ones; bands of a prefix
+_BAND, _BANDS = -np.log(1 - MOST_EDITS - 1e-3), 256
+#: Pairs of suffixes that are looked at together, which bounds memory
+PAIRS_AT_ONCE = 1_000_000
 #: Least share of the longer text that shared spans must cover
 COVERAGE = 0.1
 LEAST_WORDS = 5
@@ -51,10 +54,15 @@ _MESSAGE_ARROW = pa.schema(
         ("ref", pa.int64()), ("record_id", pa.int64()), ("class_key", pa.int64()), ("dataset", pa.string()), ("len", pa.int32()),
     ]
 )
-_FOUND = "ref bigint, other bigint, place int, record_id bigint, class_key bigint, side int, len int"
-_FOUND_ARROW = pa.schema(
-    [("ref", pa.int64()), ("other", pa.int64()), ("place", pa.int32()), ("record_id", pa.int64()), ("class_key", pa.int64()), ("side", pa.int32()), ("len", pa.int32())]
-)
+_SPANS = "part int, ref bigint, record_id bigint, class_key bigint, side int, refs binary, others binary, places binary, lens binary"
+_SPANS_ARROW = pa.schema(
+    [
+        ("part", pa.int32()), ("ref", pa.int64()), ("record_id", pa.int64()), ("class_key", pa.int64()), ("side", pa.int32()),
+        ("refs", pa.binary()), ("others", pa.binary()), ("places", pa.binary()), ("lens", pa.binary()),
+    ]
+)
+_FOUND = "ref bigint, other bigint, record_id bigint, class_key bigint, side int"
+_FOUND_ARROW = pa.schema([("ref", pa.int64()), ("other", pa.int64()), ("record_id", pa.int64()), ("class_key", pa.int64()), ("side", pa.int32())])
 
 
 @lru_cache(maxsize=1)
@@ -162,19 +170,60 @@ def _messages(rows: dict, base: int, n_buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MESSAGE_ARROW, strict=True)], schema=_MESSAGE_ARROW)
 
 
-def _shared_spans(table: pa.Table) -> pa.Table:
-    """Pairs (train text, other text) that share a span, by neighbourhood in the sorted suffixes of one partition."""
-    kind = table["kind"].to_numpy()
-    out = []
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of one order together, which compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplaned(found: pa.Table, column: str, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).reshape(-1) for b in found[column].to_pylist()]
+    return np.concatenate(parts)
+
+
+def _table(schema: pa.Schema, **cols) -> pa.Table:
+    size = len(next(iter(cols.values())))
+    return pa.table([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+
+def _meetings(g, s, p, n):
+    """Chunks of (train suffixes, other suffixes) of one prefix at compatible places: all of them, whatever the group's size.
+
+    Others are sorted by prefix, band of length and place; a partner lies in the same or a next band, in a window of places.
+    """
+    group = np.cumsum(np.append(False, g[1:] != g[:-1]))
+    cell = group * _BANDS + 1 + (np.log(np.maximum(n, 1)) / _BAND).astype(np.int64)
+    train, other = np.flatnonzero(s == 0), np.flatnonzero(s == 1)
+    at = (cell[other] << 32) + p[other]
+    by = np.argsort(at)
+    at, other = at[by], other[by]
+    window = np.where(n[train] == _LONG, _LONG, (MOST_EDITS / (1 - MOST_EDITS) * n[train]).astype(np.int64) + 1)
+    for band in (-1, 0, 1):
+        c = (cell[train] + band) << 32
+        lo = np.searchsorted(at, c + np.maximum(p[train] - window, 0))
+        count = np.searchsorted(at, c + p[train] + window, "right") - lo
+        ends = np.cumsum(count)
+        x = 0
+        while x < len(train):
+            y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + PAIRS_AT_ONCE, "right")))
+            k = count[x:y]
+            i = np.repeat(train[x:y], k)
+            j = other[np.arange(len(i)) + np.repeat(lo[x:y] - (np.cumsum(k) - k), k)]
+            most = MOST_EDITS * np.maximum(n[i], n[j])
+            shift = np.abs(p[i] - p[j]) + np.abs((n[i] - p[i]) - (n[j] - p[j]))
+            ok = (shift <= most) | (n[i] == _LONG) | (n[j] == _LONG)
+            yield i[ok], j[ok]
+            x = y
 
-    def rows(**cols):
-        size = len(next(iter(cols.values())))
-        arrays = [pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in _FOUND_ARROW]
-        out.append(pa.table(arrays, schema=_FOUND_ARROW))
 
+def _shared_spans(table: pa.Table, n_parts: int) -> pa.Table:
+    """Pairs (train text, other text) that share a span in one partition of suffixes, packed by part of the other text."""
+    kind = table["kind"].to_numpy()
+    out = []
     members = table.filter(pa.array(kind == 1))
     if members.num_rows:
-        rows(**{c: members[c].combine_chunks() for c in ("ref", "record_id", "class_key", "side", "len")})
+        cols = {c: members[c].combine_chunks() for c in ("ref", "record_id", "class_key", "side")}
+        out.append(_table(_SPANS_ARROW, part=members["bucket"].combine_chunks(), **cols))
     sent = table.filter(pa.array(kind == 0))
     if sent.num_rows:
         raw = np.frombuffer(b"".join(sent["grams"].to_pylist()), np.uint8).reshape(-1, 5)
@@ -198,23 +247,36 @@ def _shared_spans(table: pa.Table) -> pa.Table:
             same[1:] &= x[by[1:]] == x[by[:-1]]
         same[:1] = False
         by = by[~same]
-        by = by[np.lexsort((place[by], length[by], gram[by]))]
-        g, s, p, n, r = gram[by], side[by], place[by], length[by], base[by] + doc[by]
-        begin = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
-        count = np.diff(np.append(begin, len(g)))
-        large = np.repeat(count > GROUP, count)
-        for k in range(1, GROUP):
-            i = np.flatnonzero((g[k:] == g[:-k]) & (s[k:] != s[:-k]) & ~(large[k:] & (k > NEAR)))
-            j = i + k
-            most = MOST_EDITS * np.maximum(n[i], n[j])
-            shift = np.abs(p[i] - p[j]) + np.abs((n[i] - p[i]) - (n[j] - p[j]))
-            ok = (shift <= most) | (n[i] == _LONG) | (n[j] == _LONG)
-            i, j = i[ok], j[ok]
-            train_first = s[i] == 0
-            a, b = np.where(train_first, i, j), np.where(train_first, j, i)
-            if len(a):
-                rows(ref=r[a], other=r[b], place=p[b].astype(np.int32), len=np.maximum(n[a], n[b]).astype(np.int32))
-    return pa.concat_tables(out) if out else _FOUND_ARROW.empty_table()
+        s, p, n, r = side[by], place[by], length[by], base[by] + doc[by]
+        part = (mix(r.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
+        for i, j in _meetings(gram[by], s, p, n) if len(by) else ():
+            order = np.argsort(part[j], kind="stable")
+            i, j = i[order], j[order]
+            parts, begin = np.unique(part[j], return_index=True)
+            cols = {"refs": r[i], "others": r[j], "places": p[j].astype(np.uint16), "lens": np.maximum(n[i], n[j]).astype(np.uint16)}
+            cuts = [*begin.tolist(), len(i)]
+            packed = {c: [_planes(x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)] for c, x in cols.items()}
+            out.append(_table(_SPANS_ARROW, part=parts, **packed))
+    return pa.concat_tables(out) if out else _SPANS_ARROW.empty_table()
+
+
+def _covered(table: pa.Table) -> pa.Table:
+    """Members as they are, and the pairs of one part whose spans, each a run of SPAN letters, cover enough once merged."""
+    packed = table["refs"].is_valid()
+    members, spans = table.filter(pa.compute.invert(packed)), table.filter(packed)
+    out = [_table(_FOUND_ARROW, **{c: members[c].combine_chunks() for c in ("ref", "record_id", "class_key", "side")})]
+    if spans.num_rows:
+        ref, other = _unplaned(spans, "refs", np.int64), _unplaned(spans, "others", np.int64)
+        place, length = _unplaned(spans, "places", np.uint16).astype(np.int64), _unplaned(spans, "lens", np.uint16).astype(np.int64)
+        by = np.lexsort((place, other, ref))
+        ref, other, place = ref[by], other[by], place[by]
+        new = np.append(True, (ref[1:] != ref[:-1]) | (other[1:] != other[:-1]))[: len(ref)]
+        adds = np.where(new, SPAN, np.minimum(np.diff(place, prepend=0), SPAN))
+        begin = np.flatnonzero(new)
+        if len(begin):
+            near = begin[np.add.reduceat(adds, begin) >= COVERAGE * np.maximum.reduceat(length[by], begin)]
+            out.append(_table(_FOUND_ARROW, ref=ref[near], other=other[near]))
+    return pa.concat_tables(out)
 
 
 @F.pandas_udf(T.StringType())
@@ -239,14 +301,14 @@ class CrossSplitOverlap:
                         yield _messages({k: v[i:j] for k, v in d.items()}, base, n_buckets)
                         base += 1 << 16
 
-        found = written(src.mapInArrow(send, _MESSAGE).groupBy("bucket").applyInArrow(_shared_spans, _FOUND), "spans")
-        docs = found.where("other is null").select("ref", "record_id", "class_key", "side", "len")
+        def spans(table: pa.Table) -> pa.Table:
+            return _shared_spans(table, n_buckets)
+
+        shared = src.mapInArrow(send, _MESSAGE).groupBy("bucket").applyInArrow(spans, _SPANS)
+        found = written(shared.groupBy("part").applyInArrow(_covered, _FOUND), "spans")
+        docs = found.where("other is null").select("ref", "record_id", "class_key", "side")
         self.members = docs.select("record_id", "class_key", "side")
-        # spans of a pair, merged: each begins a run of SPAN letters
-        spans = found.where("other is not null").groupBy("ref", "other").agg(F.array_sort(F.collect_set("place")).alias("p"), F.max("len").alias("len"))
-        gaps = F.zip_with(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", 1, F.size("p") - 1), lambda x, y: F.least(x - y, F.lit(SPAN)))
-        covered = F.lit(SPAN) + F.aggregate(gaps, F.lit(0), lambda x, y: x + y)
-        near = spans.where(covered >= F.lit(COVERAGE) * F.col("len")).select("ref", "other")
+        near = found.where("other is not null").select("ref", "other")
         senders = docs.where("ref >= 0").select("ref", F.col("class_key").alias("key"))
         classes = near.join(senders.withColumnRenamed("key", "x"), "ref").join(senders.select(F.col("ref").alias("other"), F.col("key").alias("y")), "other")
         pairs = classes.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()

@@ -86,6 +86,26 @@ def test_cross_split_overlap_equals_brute_force(spark):
     assert CrossSplitOverlap(df.limit(0)).pairs().count() == 0
 
 
+def test_cross_split_overlap_of_large_families(spark):
+    """Several hundred variants of one text, of equal length as well: every pair meets, not only neighbours."""
+    rng, abc = random.Random(3), "abcdefghijklmnopqrstuvwxyz"
+    base = "".join(rng.choice(abc) for _ in range(60))
+    texts = set()
+    while len(texts) < 320:
+        t = list(base)
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randrange(len(t))
+            t[i : i + 1] = rng.choice([[], [rng.choice(abc)], [rng.choice(abc)], [rng.choice(abc)], [t[i], rng.choice(abc)]])
+        texts.add("".join(t))
+    texts = sorted(texts)
+    rng.shuffle(texts)
+    rows = [(i, "d", "test" if i % 3 == 0 else "train", "s", " ".join(t[k : k + 10] for k in range(0, len(t), 10))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "record_id long, dataset string, split string, source string, text string")
+    got = {(r.record_a, r.record_b) for r in CrossSplitOverlap(df).pairs().collect()}
+    want = {(i, j) for i, j in combinations(range(320), 2) if (i % 3 == 0) != (j % 3 == 0) and _distance(texts[i], texts[j]) <= 0.15 * max(len(texts[i]), len(texts[j]))}
+    assert len(want) > 22_000 and got == want
+
+
 def test_suffix_array_and_index():
     rng = np.random.default_rng(1)
     for n, sigma in ((0, 2), (1, 2), (50, 2), (200, 4)):
