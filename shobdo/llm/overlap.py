@@ -1,4 +1,7 @@
-"""Same or nearly the same records across splits (problem 1): a suffix array over the corpus, parted by prefix.
+"""Same or nearly the same records across splits (problem 1): a join of sampled 10-grams, in place of a suffix array.
+
+No suffix content beyond SPAN letters is sent, so suffixes have no order by content and no longer common prefix is taken:
+longer shared runs show as several spans, and whole suffixes would be some length of the text times the input to send.
 
 Texts are reduced to their letters, marks and digits.  Of the suffixes of all texts a third is kept, chosen by content (the
 least hash of every `WINDOW` neighbours), so that any shared span of SPAN + WINDOW - 1 letters puts the same
