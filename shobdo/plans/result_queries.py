@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maps
 from ..functions.dialect import DUCK, nested
-from ..operators import analysis, evaluate, metrics, noise
+from ..operators import analysis, evaluate, metrics, noise, prepare
 from .noise_queries import records
 
 QUERIES, SQL = {}, {}
@@ -269,35 +269,49 @@ def noise_slopes(spark, d):
 
 
 def _labelled(spark, d, split: str):
-    """Distinct labelled texts of the dataset that ships its splits."""
-    rows = records(spark, d).where(f"dataset = 'sentnob' and split = '{split}' and label is not null and trim(text) <> ''")
-    return rows.groupBy("text").agg(F.min("label").alias("label"), F.min("id").alias("id"))
+    """Distinct labelled texts of every dataset: in the splits it ships, or else in the seeded ones (rows without a dataset belong to none)."""
+    rows = records(spark, d).where("dataset is not null and label is not null and trim(text) <> ''")
+    own = F.when(F.col("dataset").isin(*prepare.SHIPPED), F.col("split")).otherwise("")
+    texts = rows.groupBy("dataset", own.alias("src_split"), "text").agg(F.min("label").alias("label"), F.min("id").alias("id"))
+    return prepare.with_splits(texts).where(F.col("final_split") == split).select("dataset", "text", "label", "id")
 
 
-@query()
-def char_ngram_svm(spark, d):
-    """Predictions of the n-gram classifier on the test split of the dataset that ships its splits."""
+def _by_dataset(spark, d, result):
+    """result(test rows, predictor) of every dataset, each with a classifier of its own."""
     from ..operators import models
 
-    predict = models.predictor(models.fit(_labelled(spark, d, "train")))
-    return predict(_labelled(spark, d, "test")).select("id", F.col("label").alias("y_true"), "y_pred")
+    train, test = _labelled(spark, d, "train"), _labelled(spark, d, "test")
+    out = None
+    for (name,) in sorted(train.select("dataset").distinct().collect()):  # a few corpora
+        own = F.col("dataset") == name
+        predict = models.predictor(models.fit(train.where(own).drop("dataset")))
+        part = result(test.where(own).drop("dataset"), predict).withColumn("dataset", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def char_ngram_svm(spark, d):
+    """Predictions of the n-gram classifier on the test split of every dataset."""
+    return _by_dataset(spark, d, lambda test, predict: predict(test).select("id", F.col("label").alias("y_true"), "y_pred"))
 
 
 @query()
 def noise_grid_eval(spark, d):
-    """Its metrics on clean text and on every noise type at severities 1 to 5, one plan."""
+    """Its metrics by dataset on clean text and on every noise type at severities 1 to 5, one plan."""
     from ..operators import models
 
-    predict = models.predictor(models.fit(_labelled(spark, d, "train")))
-    return models.evaluate_grid(_labelled(spark, d, "test"), predict, [1, 2, 3, 4, 5], 42)
+    return _by_dataset(spark, d, lambda test, predict: models.evaluate_grid(test, predict, [1, 2, 3, 4, 5], 42))
 
 
 @query()
 def augmented_train(spark, d):
-    """The training split with half of its rows noised by types of the first group."""
+    """The training split of every dataset with half of its rows noised by types of the first group, and again of the second."""
     from ..operators import models
 
-    return models.train_variant(_labelled(spark, d, "train"), "augmented_n1n4", 42)
+    train = _labelled(spark, d, "train")
+    first, second = (models.train_variant(train, v, 42).withColumn("train_variant", F.lit(v)) for v in ("augmented_n1n4", "augmented_n5n8"))
+    return first.unionByName(second)
 
 
 @query()

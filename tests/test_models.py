@@ -21,3 +21,18 @@ def test_classifier_and_grid(spark):
     assert {r.id: r.y_pred for r in predict(test).collect()} == {"a": 1, "b": 0}
     grid = {(r.noise_type, r.severity): r for r in models.evaluate_grid(test, predict, [1], 42, ["char_delete"]).collect()}
     assert set(grid) == {("", 0), ("char_delete", 1)} and grid["", 0].macro_f1 == 1
+
+
+def test_classifier_queries_take_every_dataset(spark, tmp_path):
+    from shobdo.plans import core
+
+    rows = []
+    for name in ("sentnob", "bd_shs", "banfakenews"):
+        for i in range(60):
+            split = ("train", "train", "test")[i % 3] if name == "sentnob" else None
+            rows.append((len(rows), f"{name}{i}", name, split, f"{'ভালো সুন্দর' if i % 2 else 'খারাপ বাজে'} লেখা পড়ি {i}", i % 2))
+    spark.createDataFrame(rows, "record_id long, id string, dataset string, split string, text string, label int").write.parquet(f"{tmp_path}/corpus_records.parquet")
+    predicted = core.QUERIES["char_ngram_svm"](spark, str(tmp_path)).groupBy("dataset").count().collect()
+    assert {r["dataset"]: r["count"] for r in predicted} == {"sentnob": 20, "bd_shs": 12, "banfakenews": 12}
+    noised = core.QUERIES["augmented_train"](spark, str(tmp_path)).groupBy("dataset", "train_variant").count().collect()
+    assert {(r["dataset"], r["train_variant"]): r["count"] for r in noised} == {(d, v): n for d, n in (("sentnob", 40), ("bd_shs", 42), ("banfakenews", 42)) for v in ("augmented_n1n4", "augmented_n5n8")}
