@@ -32,7 +32,11 @@ def char_ngrams(text: str = "text", low: int = 2, high: int = 5):
 ROWS_A_TASK = 5_000
 
 
-def fit(train: DataFrame, vocabulary: int = 50_000, iterations: int = 20) -> Model:
+#: CountVectorizer needs a bound; this one is beyond any corpus, so every n-gram of two texts or more counts
+ALL_NGRAMS = 2**31 - 1
+
+
+def fit(train: DataFrame, vocabulary: int = ALL_NGRAMS, iterations: int = 20) -> Model:
     """L1, L2: counts of n-grams in at least two texts, idf, unit length, a linear SVM with balanced class weights."""
     n = train.count()
     labels = train.groupBy("label").count()

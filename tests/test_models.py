@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from shobdo.operators import models
 
 
@@ -23,6 +24,13 @@ def test_classifier_and_grid(spark):
     assert set(grid) == {("", 0), ("char_delete", 1)} and grid["", 0].macro_f1 == 1
 
 
+def test_every_ngram_of_two_texts_is_a_feature(spark):
+    words = spark.range(9_000).select(F.concat(F.md5(F.col("id").cast("string")), F.lit(" "), F.md5(F.lit("x"))).alias("w"), (F.col("id") % 2).cast("int").alias("label"))
+    rows = words.select(F.col("w").alias("text"), "label").unionByName(words.select(F.col("w").alias("text"), "label"))
+    df = rows.select(models.char_ngrams().alias("g")).select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").count().where("count >= 2").count()
+    assert df > 50_000 and len(models.fit(rows, iterations=1).stages[0].stages[0].vocabulary) == df
+
+
 def test_classifier_queries_take_every_dataset(spark, tmp_path):
     from shobdo.plans import core
 
