@@ -48,6 +48,7 @@ LEAST_WORDS = 5
 MOST_SENT_IDS = 1_000_000
 _URL = re.compile(r"\b(?:https?://|www\.)\S+", re.IGNORECASE)
 _MENTION = re.compile(r"(?<![\w@])@[\wঀ-৿]+")
+#: Places and lengths of texts beyond this go in 32 bits instead of 16
 _LONG = 65535
 
 _MESSAGE = "bucket int, kind int, side int, grams binary, places binary, ref bigint, record_id bigint, class_key bigint, dataset string, len int"
@@ -158,17 +159,17 @@ def _messages(rows: dict, base: int, n_buckets: int) -> pa.RecordBatch:
     at = at[sends[b.doc[at]]]
     doc = b.doc[at]
     gram = mix(b.hash[at] ^ mix(salt[doc] + np.uint64(7)))
-    place = np.minimum(at - b.start[doc], _LONG)
-    bucket = (gram % np.uint64(n_buckets)).astype(np.int64) * 2 + side[doc]
+    place = at - b.start[doc]
+    bucket = (gram % np.uint64(n_buckets)).astype(np.int64) * 4 + 2 * (b.len[doc] > _LONG) + side[doc]
     by = np.lexsort((gram, bucket))
     gram, doc, place = gram[by], doc[by], place[by]
-    cuts = np.searchsorted(bucket[by], np.arange(2 * n_buckets + 1))
+    cuts = np.searchsorted(bucket[by], np.arange(4 * n_buckets + 1))
     short = np.ascontiguousarray(gram.view(np.uint8).reshape(-1, 8)[:, 3:])  # with the bucket, enough of the hash
-    four = np.stack([doc, key[doc] & np.uint64(0xFFFF), place, np.minimum(b.len[doc], _LONG)]).astype(np.uint16)
-    for k in range(2 * n_buckets):
+    four = np.stack([doc, key[doc] & np.uint64(0xFFFF), place, b.len[doc]]).astype(np.uint32)
+    for k in range(4 * n_buckets):
         i, j = cuts[k], cuts[k + 1]
         if i < j:
-            out.append((k // 2, 0, k % 2, short[i:j].tobytes(), four[:, i:j].tobytes(), base, None, None, None, None))
+            out.append((k // 4, 0, k % 2, short[i:j].tobytes(), four[:, i:j].astype(np.uint32 if k & 2 else np.uint16).tobytes(), base, None, None, None, None))
     cols = list(zip(*out, strict=True)) if out else [[]] * 10
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MESSAGE_ARROW, strict=True)], schema=_MESSAGE_ARROW)
 
@@ -200,7 +201,7 @@ def _meetings(g, s, p, n):
     at = (cell[other] << 32) + p[other]
     by = np.argsort(at)
     at, other = at[by], other[by]
-    window = np.where(n[train] == _LONG, _LONG, (MOST_EDITS / (1 - MOST_EDITS) * n[train]).astype(np.int64) + 1)
+    window = (MOST_EDITS / (1 - MOST_EDITS) * n[train]).astype(np.int64) + 1
     for band in (-1, 0, 1):
         c = (cell[train] + band) << 32
         lo = np.searchsorted(at, c + np.maximum(p[train] - window, 0))
@@ -214,7 +215,7 @@ def _meetings(g, s, p, n):
             j = other[np.arange(len(i)) + np.repeat(lo[x:y] - (np.cumsum(k) - k), k)]
             most = MOST_EDITS * np.maximum(n[i], n[j])
             shift = np.abs(p[i] - p[j]) + np.abs((n[i] - p[i]) - (n[j] - p[j]))
-            ok = (shift <= most) | (n[i] == _LONG) | (n[j] == _LONG)
+            ok = shift <= most
             yield i[ok], j[ok]
             x = y
 
@@ -233,10 +234,11 @@ def _shared_spans(table: pa.Table, n_parts: int) -> pa.Table:
         gram = np.zeros((len(raw), 8), np.uint8)
         gram[:, :5] = raw
         gram = gram.view(np.uint64).reshape(-1)
-        four = [np.frombuffer(p, np.uint16).reshape(4, -1) for p in sent["places"].to_pylist()]
+        lists = zip(sent["grams"].to_pylist(), sent["places"].to_pylist(), strict=True)
+        four = [np.frombuffer(p, np.uint32 if len(p) * 5 == len(g) * 16 else np.uint16).reshape(4, -1).astype(np.int64) for g, p in lists]
         size = [f.shape[1] for f in four]
         base, side = np.repeat(sent["ref"].to_numpy(), size), np.repeat(sent["side"].to_numpy(), size)
-        doc, check, place, length = np.concatenate(four, axis=1).astype(np.int64)
+        doc, check, place, length = np.concatenate(four, axis=1)
         # suffixes whose prefix occurs on one side only go first
         by = np.argsort(gram, kind="stable")
         g = gram[by]
@@ -256,7 +258,7 @@ def _shared_spans(table: pa.Table, n_parts: int) -> pa.Table:
             order = np.argsort(part[j], kind="stable")
             i, j = i[order], j[order]
             parts, begin = np.unique(part[j], return_index=True)
-            cols = {"refs": r[i], "others": r[j], "places": p[j].astype(np.uint16), "lens": np.maximum(n[i], n[j]).astype(np.uint16)}
+            cols = {"refs": r[i], "others": r[j], "places": p[j].astype(np.uint32), "lens": np.maximum(n[i], n[j]).astype(np.uint32)}
             cuts = [*begin.tolist(), len(i)]
             packed = {c: [_planes(x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)] for c, x in cols.items()}
             out.append(_table(_SPANS_ARROW, part=parts, **packed))
@@ -270,7 +272,7 @@ def _covered(table: pa.Table) -> pa.Table:
     out = [_table(_FOUND_ARROW, **{c: members[c].combine_chunks() for c in ("ref", "record_id", "class_key", "side")})]
     if spans.num_rows:
         ref, other = _unplaned(spans, "refs", np.int64), _unplaned(spans, "others", np.int64)
-        place, length = _unplaned(spans, "places", np.uint16).astype(np.int64), _unplaned(spans, "lens", np.uint16).astype(np.int64)
+        place, length = _unplaned(spans, "places", np.uint32).astype(np.int64), _unplaned(spans, "lens", np.uint32).astype(np.int64)
         by = np.lexsort((place, other, ref))
         ref, other, place = ref[by], other[by], place[by]
         new = np.append(True, (ref[1:] != ref[:-1]) | (other[1:] != other[:-1]))[: len(ref)]

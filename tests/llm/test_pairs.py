@@ -106,6 +106,16 @@ def test_cross_split_overlap_of_large_families(spark):
     assert len(want) > 22_000 and got == want
 
 
+def test_cross_split_overlap_counts_spans_of_long_texts(spark):
+    """75,000 letters whose edits lie in the first 65,535: the rest, shared, is covered by its own places."""
+    rng = random.Random(6)
+    a = [rng.choice("abcdefghijklm") for _ in range(75_000)]
+    b = [x if i > 65_535 or i % 7 else "z" for i, x in enumerate(a)]
+    rows = [(k, "d", s, "s", " ".join("".join(t[i : i + 9]) for i in range(0, len(t), 9))) for k, (s, t) in enumerate((("train", a), ("test", b)))]
+    df = spark.createDataFrame(rows, "record_id long, dataset string, split string, source string, text string")
+    assert CrossSplitOverlap(df).candidates.count() == 1
+
+
 def test_suffix_array_and_index():
     rng = np.random.default_rng(1)
     for n, sigma in ((0, 2), (1, 2), (50, 2), (200, 4)):
