@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is set."""
+    """The folder of spark.checkpoint.dir.  Where that is unset a temporary one is set if this machine runs everything
+    (master local); on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="shobdo-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -39,6 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
     """Runs of items whose sizes sum to at most `most` (or one larger item)."""
     out, k = [], 0
@@ -60,14 +72,11 @@ def text_blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> list[tuple[
     return blocks([len(t or "") for t in texts], most)
 
 
-#: Compressed bytes of input that one bucket of packed n-grams stands for, and the least number of buckets
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 48
-_UNKNOWN = 1 << 60
+#: Bytes of text that one bucket of packed n-grams stands for, and the least number of buckets
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 48
 
 
-def bucket_count(df: DataFrame, key: str) -> int:
-    """Buckets in proportion to the input: by the plan's own statistics, or by a scan where it has none."""
-    size = int(str(df.select(key, "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= _UNKNOWN:
-        size = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
-    return max(LEAST_BUCKETS, size // BUCKET_BYTES)
+def bucket_count(df: DataFrame) -> tuple[int, int]:
+    """Texts, and buckets in proportion to their bytes, which a scan of the one column sums."""
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return n, max(LEAST_BUCKETS, (size or 0) // BUCKET_BYTES)

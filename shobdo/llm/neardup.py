@@ -139,7 +139,7 @@ def _count_bucket(table: pa.Table) -> pa.Table:
 
 def repeated_grams(docs: DataFrame, n: int) -> DataFrame:
     """Written table: rows with gram set are repeated n-grams of the text `ref`; the others are the documents."""
-    n_buckets = bucket_count(docs, "doc_id")
+    n_buckets = bucket_count(docs)[1]
 
     def send(batches):
         base = TaskContext.get().partitionId() << 40

@@ -40,6 +40,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CrossSplitOverlap(table(spark, sf_dir, "corpus_records")).pairs().select("record_a", "record_b")
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CrossSplitOverlap(table(spark, sf_dir, "corpus_records")).classes()
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CrossSplitOverlap(table(spark, sf_dir, "corpus_records")).class_links()
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(table(spark, sf_dir, "corpus_records"))
 
@@ -76,6 +84,6 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p2_found, p2_consistent, p2_spellings, p3_found, p3_restored, p5_found, p5_classes, p6_ids, p7_found, p7_spans, p8_levels, p8_profile)
+    for f in (p1_found, p1_classes, p1_links, p1_report, p2_found, p2_consistent, p2_spellings, p3_found, p3_restored, p5_found, p5_classes, p6_ids, p7_found, p7_spans, p8_levels, p8_profile)
 }
 SQL: dict[str, str] = {}
