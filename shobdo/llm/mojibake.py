@@ -1,14 +1,17 @@
 """Garbled text from wrong character decoding (problem 3).
 
-The garbled forms of every distinct clean word of the corpus, under all chains of wrong decodings, are generated and
-joined by hash with the suspicious tokens of the texts; a match names the verified original.  What the corpus's words
-do not cover (a garbled sign glued to a clean word, a word that occurs nowhere else) is matched against the garbled forms
-of single characters, a table fixed by rule, run by run.  U+FFFD marks a wrong decoding whether or not the original
-can be regained.
+The garbled forms of every distinct clean word of the corpus and of the pieces of such words (grapheme clusters and
+single signs outside ASCII), under all chains of wrong decodings, are generated and joined by hash with the suspicious
+tokens of the texts and with their pieces; a match names the verified original.  Tokens are cut into pieces where a
+suspicious run meets other text and, within a run, where one garbled cluster or sign ends and the next begins; the places of these cuts
+come from a table of single signs that is fixed by rule.  Only a run that is wholly made of signs which no word of the
+corpus carries is taken on that table's word alone (`by` = 'sign').  U+FFFD marks a wrong decoding whether or not the
+original can be regained.
 
 A token is a piece between blanks, tabs and line ends (garbled text holds other white space), without the ASCII
 punctuation around it.  Defined results: null and empty texts are never garbled; a form that several words have stands for
-the most frequent (then the first by spelling); text without garbled tokens is returned unchanged; any length.
+the most frequent (then the first by spelling); a form of nothing but look-alikes of Latin letters and white space is a
+spelling and no form; text without garbled tokens is returned unchanged; any length.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,8 @@ SUSPECT_JAVA = f"[^{_CLEAN}\\x{{1f300}}-\\x{{1faff}}]"
 _BLANK = re.compile("([ \t\r\n]+)")
 _RUN = re.compile("[^\x00-\x7f।॥ঀ-৿]+")
 _EDGE = string.punctuation
+_CLUSTER = regex.compile(r"\X")
+_MARK = regex.compile(r"[\p{M}\u200c\u200d]")
 
 
 @lru_cache(maxsize=32)
@@ -61,9 +67,14 @@ def garble(text: str, chain: tuple[str, ...]) -> str:
     return text
 
 
+def _says_nothing(form: str) -> bool:
+    """Only lost signs, or a possible spelling: look-alikes of Latin letters (see consistent) and white space."""
+    return not form.strip(LOST) or all(c in TO_LATIN or c.isspace() for c in form)
+
+
 def forms(word: str) -> set[str]:
-    """All garbled forms of a word, without those that say nothing (the word itself, only lost signs)."""
-    return {g for c in CHAINS if (g := garble(word, c)) != word and g.strip(LOST)}
+    """All garbled forms of a word, without those that say nothing (the word itself as well)."""
+    return {g for c in CHAINS if (g := garble(word, c)) != word and not _says_nothing(g)}
 
 
 @lru_cache(maxsize=1)
@@ -76,33 +87,50 @@ def sign_forms() -> dict[str, tuple[str, int]]:
         for cp in range(a, b + 1):
             for k, chain in enumerate(CHAINS):
                 g = garble(chr(cp), chain)
-                # letters that all look Latin are a spelling, not a wrong decoding (see consistent)
-                if LOST not in g and not all(c in TO_LATIN for c in g):
+                if LOST not in g and not _says_nothing(g):
                     out.setdefault(g, (chr(cp), k))
     return out
 
 
 @lru_cache(maxsize=200_000)
-def restore_run(run: str) -> tuple[str, bool, bool]:
-    """The run with garbled characters replaced; whether any was; whether all suspicious characters are accounted for.
-
-    The longest form at each place wins.
-    """
+def units(run: str) -> list[tuple[str, str | None]]:
+    """The run cut into garbled signs with their originals (the longest form at each place wins) and other characters (None)."""
     table = sign_forms()
-    out, i, any_, whole = [], 0, False, True
+    out, i = [], 0
     while i < len(run):
         for size in range(min(len(run) - i, 16), 1, -1):
             hit = table.get(run[i : i + size])
             if hit:
-                out.append(hit[0])
-                any_ = True
+                out.append((run[i : i + size], hit[0]))
                 i += size
                 break
         else:
-            whole &= not SUSPECT.match(run[i])
-            out.append(run[i])
+            out.append((run[i], None))
             i += 1
-    return "".join(out), any_, whole
+    return out
+
+
+def restore_run(run: str) -> tuple[str, bool, bool]:
+    """The run with garbled characters replaced; whether any was; whether all suspicious characters are accounted for."""
+    found = units(run)
+    return "".join([o or c for c, o in found]), any(o for _, o in found), not any(o is None and SUSPECT.match(c) for c, o in found)
+
+
+def pieces(core: str) -> list[str]:
+    """What is looked up for a suspicious token: itself, its suspicious runs, and their garbled clusters and signs."""
+    out = {core: None}
+    for run in _RUN.findall(core):
+        out[run] = None
+        cluster = ""
+        for form, original in [*units(run), ("", None)]:
+            if not original or not _MARK.match(original):
+                if cluster:
+                    out[cluster] = None
+                cluster = ""
+            if original:
+                out[form] = None
+                cluster += form
+    return [x for x in out if len(x) > 1 and SUSPECT.search(x)]
 
 
 def restore_token(token: str) -> tuple[str, bool, bool]:
@@ -133,16 +161,23 @@ def _is_clean(word: str) -> bool:
     return LOST not in word and not (SUSPECT.search(word) and restore_token(word)[1])
 
 
+def parts(word: str) -> set[str]:
+    """Grapheme clusters and single characters outside ASCII of a clean word; white space is none."""
+    return {x for c in _CLUSTER.findall(word) for x in (c, *c) if not x.isascii() and not x.isspace()}
+
+
 def _words(batches):
-    """word, n: clean words with a character outside ASCII, counted before the shuffle."""
+    """word, n: clean words with a character outside ASCII and their parts, counted before the shuffle."""
     seen: Counter = Counter()
 
     def out():
         words = Counter()
         for w, n in seen.items():
             core = w.strip(_EDGE)
-            if core and not core.isascii() and len(core) <= 200 and _is_clean(core):
+            if core and not core.isascii() and _is_clean(core):
                 words[core] += n
+                for x in parts(core):
+                    words[x] += 0  # a whole word of that form goes first
         seen.clear()
         return pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
@@ -173,35 +208,40 @@ def garbled_forms(records: DataFrame) -> DataFrame:
     return made.groupBy("form").agg(F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("original"))
 
 
-_TOKENS = "record_id bigint, place int, core string, restored string, found boolean, whole boolean"
+_TOKENS = "record_id bigint, place int, core string, restored string, found boolean, whole boolean, pieces array<string>"
 
 
 def _suspicious(batches):
-    """Tokens with a suspicious character, with what the table of signs makes of them."""
+    """Tokens with a suspicious character, their pieces, and what the table of signs makes of them."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], [], []]
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for place, piece in enumerate(_BLANK.split(text)):
                 if place % 2 or not SUSPECT.search(piece):
                     continue
                 core = core_of(piece)[1]
-                restored, found, whole = restore_token(core)
-                for c, v in zip(cols, (key, place, core, restored, found or LOST in core, whole), strict=True):
+                for c, v in zip(cols, (key, place, core, *restore_token(core), pieces(core)), strict=True):
                     c.append(v)
-        types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
-        names = ("record_id", "place", "core", "restored", "found", "whole")
+        types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()))
+        names = ("record_id", "place", "core", "restored", "found", "whole", "pieces")
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], list(names))
 
 
 def garbled_tokens(records: DataFrame) -> DataFrame:
-    """record_id, place, core, original (null: not regained) of every garbled token of every row."""
+    """record_id, place, core, original (null: not regained), by, of every garbled token of every row.
+
+    by: 'word' where a form of a clean word is the token, 'piece' where forms of words or of their parts are in it,
+    'sign' where only the table of signs knows all of its suspicious characters, 'lost' where U+FFFD is all there is."""
     suspects = records.where((F.col("text").rlike(SUSPECT_JAVA)) & F.col("record_id").isNotNull()).select("record_id", "text")
     tokens = cut(suspects.mapInArrow(_suspicious, _TOKENS))
-    # the table is joined to distinct tokens, so a garbled word that many rows repeat is one row
-    distinct = tokens.select("core").distinct()
-    known = distinct.join(garbled_forms(records), distinct.core == F.col("form")).select("core", "original")
-    out = tokens.join(known, "core", "left").where(F.col("original").isNotNull() | F.col("found"))
-    return out.select("record_id", "place", "core", F.coalesce("original", F.expr("if(whole and not contains(restored, '�'), restored, null)")).alias("original"))
+    # the table is joined to distinct pieces of distinct tokens, so a garbled word that many rows repeat is one row
+    distinct = tokens.groupBy("core").agg(F.any_value("pieces").alias("pieces"))
+    wanted = distinct.select("core", F.explode("pieces").alias("form"))
+    known = wanted.join(garbled_forms(records), "form").groupBy("core").agg(F.max(F.when(F.col("form") == F.col("core"), F.col("original"))).alias("original"), F.lit(True).alias("joined"))
+    lost = F.col("core").contains(LOST)
+    by = F.when(F.col("original").isNotNull(), "word").when(F.col("joined"), "piece").when(F.col("found") & (F.col("whole") | lost), "sign").when(lost, "lost")
+    out = tokens.join(known, "core", "left").withColumn("by", by).where(F.col("by").isNotNull())
+    return out.select("record_id", "place", "core", F.coalesce("original", F.expr(f"if(found and whole and not contains(restored, '{LOST}'), restored, null)")).alias("original"), "by")
 
 
 def garbled_records(records: DataFrame) -> DataFrame:
@@ -209,6 +249,11 @@ def garbled_records(records: DataFrame) -> DataFrame:
     return garbled_tokens(records).select("record_id").distinct()
 
 
+def methods(records: DataFrame) -> DataFrame:
+    """by, n_tokens, n_records: what the garbled tokens were found by."""
+    return garbled_tokens(records).groupBy("by").agg(F.count("*").alias("n_tokens"), F.countDistinct("record_id").alias("n_records"))
+
+
 def _rebuild(batches):
     for batch in batches:
         ids, texts, places, words, lost = (batch.column(i).to_pylist() for i in range(5))

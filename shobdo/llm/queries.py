@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .leakage import leaked_items
 from .lookalike import lookalike_pairs, spellings, with_consistent_text
-from .mojibake import garbled_records, restored_texts
+from .mojibake import garbled_records, methods, restored_texts
 from .neardup import NearDuplicates
 from .overlap import CrossSplitOverlap, overlap_report
 from .reading import profile, reading_levels, train
@@ -24,6 +24,10 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored_texts(table(spark, sf_dir, "corpus_records"))
 
 
+def p3_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return methods(table(spark, sf_dir, "corpus_records"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(table(spark, sf_dir, "documents"), n=3, threshold=0.5).pairs().select("doc_a", "doc_b")
 
@@ -84,6 +88,6 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p1_links, p1_report, p2_found, p2_consistent, p2_spellings, p3_found, p3_restored, p5_found, p5_classes, p6_ids, p7_found, p7_spans, p8_levels, p8_profile)
+    for f in (p1_found, p1_classes, p1_links, p1_report, p2_found, p2_consistent, p2_spellings, p3_found, p3_restored, p3_methods, p5_found, p5_classes, p6_ids, p7_found, p7_spans, p8_levels, p8_profile)
 }
 SQL: dict[str, str] = {}

@@ -27,3 +27,22 @@ def test_records(spark):
     assert back[15] == ("ভাষা xyz", 0)  # lost bytes, regained because the word is in the corpus
     assert garbled_records(df.limit(0)).count() == 0
     assert garbled_forms(df).where("original is null").count() == 0
+
+
+def test_rows_are_found_by_the_join(spark, monkeypatch):
+    """Without the table of forms most rows are lost: the table of signs alone answers for no word of the corpus."""
+    from pyspark.sql import functions as F
+    from shobdo.llm import mojibake
+
+    words = ["আমি", "ভাত", "খাই", "বাংলা", "ভাষা", "লেখা", "পড়ি", "নতুন", "কাজ", "দেখল"]
+    rows = [(i, " ".join(words)) for i in range(3)]
+    rows += [(10 + i, "x " + garble(w, c) + " y") for i, (w, c) in enumerate((w, c) for w in words for c in (("cp1252",), ("mac_roman",), ("cp1252?",)))]
+    rows += [(100, garble("লেপ", ("cp1252",))), (101, "fiancé" + garble("লা", ("latin-1",)))]  # of pieces that words have
+    rows += [(200, "ВIКЕ\xa0bіkе\xa0ভাত"), (201, "Привет"), (202, "В\xa0নতুন")]  # meant as they stand
+    df = spark.createDataFrame(rows, "record_id long, text string")
+    by = {r.record_id: r.by for r in mojibake.garbled_tokens(df).collect()}
+    assert set(by) == {r[0] for r in rows if 10 <= r[0] < 200}
+    assert by[10] == "word" and by[100] == "piece" and by[101] == "piece" and "sign" not in by.values()
+    monkeypatch.setattr(mojibake, "garbled_forms", lambda records: spark.createDataFrame([], "form string, original string"))
+    left = {r.record_id for r in mojibake.garbled_tokens(df).where(~F.col("by").isin("sign")).collect()}
+    assert left <= {r[0] for r in rows if "\ufffd" in r[1]}
