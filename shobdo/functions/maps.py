@@ -12,6 +12,7 @@ def _chars(*ranges: tuple[int, int]) -> list[str]:
 NUKTA, HASANTA, CHANDRABINDU = "়", "্", "ঁ"
 # Severity -> fraction of eligible units
 FRACTIONS = {1: 0.05, 2: 0.10, 3: 0.20, 4: 0.35, 5: 0.50}
+# Fixed values, down to SIGNS and INSERTABLE: the letters by kind
 NUKTA_LETTERS = ["ড়", "ঢ়", "য়"]
 CONSONANTS = _chars((0x995, 0x9A8), (0x9AA, 0x9B0), (0x9B2, 0x9B2), (0x9B6, 0x9B9)) + NUKTA_LETTERS
 VOWELS = _chars((0x985, 0x98B), (0x98F, 0x990), (0x993, 0x994))
@@ -25,6 +26,7 @@ HOMOPHONES = [
     ["শ", "ষ", "স"], ["ন", "ণ"], ["ই", "ঈ"], ["উ", "ঊ"], ["ি", "ী"], ["ু", "ূ"],
     ["র", "ড়", "ঢ়"], ["জ", "য"],
 ]
+# What may be dropped or altered, and the vowels of vowel signs
 DROP_TARGETS = [*MATRAS, HASANTA, CHANDRABINDU]
 ALTER = {"ি": "ী", "ী": "ি", "ু": "ূ", "ূ": "ু"}
 MATRA_VOWEL = {"ু": "উ", "ূ": "ঊ", "ি": "ই", "ী": "ঈ", "ো": "ও"}
@@ -34,6 +36,7 @@ EMOJI_RANGES = [
     (0x2600, 0x26FF), (0x2700, 0x27BF), (0x1F1E6, 0x1F1FF), (0x1F000, 0x1F02F),
 ]
 EMOJI_GLUE = "‍️︎⃣"
+# Label of an emoji without a name, noise types in their order and groups, seeds
 EMOJI_FALLBACK = ":emoji:"
 NOISE_TYPES = [
     "char_insert", "char_delete", "char_substitute", "char_transpose", "homophone_confuse",
@@ -41,7 +44,8 @@ NOISE_TYPES = [
 ]
 NOISE_GROUPS = {"A": NOISE_TYPES[:4], "B": NOISE_TYPES[4:8], "C": NOISE_TYPES[8:]}
 SEEDS = [42, 1337, 2024]
-TARGET_RATIOS = [2.0, 2.0, 1.75, 10 / 7]
+# Targets of the ratios of neighbouring severities
+TARGET_RATIOS = [2.0, 2.0, 1.75, 1.43]
 CHAR_CLASSES = ["replacement", "emoji", "bengali", "latin", "digit", "punctuation", "whitespace", "other"]
 CER_CAP = 300
 

@@ -16,7 +16,12 @@ from .dialect import Spark
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition (no built-in function has it)."""
-    return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x), na_action="ignore")
+    return pd.Series([x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x) for x in s], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(s: pd.Series) -> pd.Series:
+    return pd.Series([x if x is None else unicodedata.normalize("NFKC", x) for x in s], dtype=object)
 
 
 def clusters(text: Column) -> Column:
@@ -28,34 +33,38 @@ def cluster_count(d: Spark, t: str) -> str:
     return d.occurrences(t, maps.CLUSTER)
 
 
+#: Letters, numbers and the underscore
+WORD = r"\p{L}\p{N}_"
+
+
 def preprocess(d: Spark, t: str) -> str:
     """Cleaning of NFC text: links, then mentions, then white space. t is in NFC."""
-    words = r"0-9A-Za-z_\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02C1}\x{0370}-\x{0373}\x{0376}\x{0377}\x{037B}-\x{037D}\x{0386}\x{0388}-\x{03FF}\x{0400}-\x{0481}\x{048A}-\x{0559}\x{0561}-\x{0587}\x{0985}-\x{09B9}\x{09CE}\x{09DC}-\x{09E1}\x{09E6}-\x{09F1}"
-    t = d.sub(t, rf"(?i)(^|[^{words}])(?:https?://|www\.)[^{maps.WS}]+", "$1<URL>")
-    t = d.sub(t, rf"(^|[^{words}@])@[{words}\x{{0980}}-\x{{09FF}}]+", "$1<USER>")
+    t = d.sub(t, rf"(?i)(^|[^{WORD}])(?:https?://|www\.)[^{maps.WS}]+", "$1<URL>")
+    t = d.sub(t, rf"(^|[^{WORD}@])@[{WORD}\x{{0980}}-\x{{09FF}}]+", "$1<USER>")
     t = d.sub(t, f"[{maps.WS}]+", " ")
     return d.sub(t, "^ +| +$", "")
 
 
-def char_class_counts(d: Spark, t: str) -> dict[str, str]:
-    """Characters of each class, the first class that fits counting, as disjoint patterns."""
-    emoji = maps.EMOJI
+def char_class_patterns() -> dict[str, str]:
+    """One Java pattern a class, disjoint: a character belongs to the first class that fits; the rest is 'other'."""
     return {
-        "replacement": d.occurrences(t, r"\x{FFFD}"),
-        "emoji": d.occurrences(t, f"[{emoji}]"),
-        "bengali": d.occurrences(t, BENGALI),
-        "latin": d.occurrences(t, LATIN),
-        "digit": d.occurrences(t, DIGIT),
-        "punctuation": d.occurrences(t, PUNCTUATION),
-        "whitespace": d.occurrences(t, f"[{maps.WS}]"),
-    }
-
-
-#: Script Bengali: the block's letters, signs and digits, without the shared dandas
-BENGALI = r"[\x{0980}-\x{0983}\x{0985}-\x{09FE}]"
-LATIN = r"[A-Za-z\x{00AA}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02B8}\x{1D00}-\x{1D25}\x{1E00}-\x{1EFF}\x{2C60}-\x{2C7F}\x{A722}-\x{A787}\x{FB00}-\x{FB06}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}]"
-DIGIT = r"[0-9\x{00B2}\x{00B3}\x{00B9}\x{0660}-\x{0669}\x{06F0}-\x{06F9}\x{0966}-\x{096F}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{FF10}-\x{FF19}]"
-PUNCTUATION = r"[!-#%-*,-/:;?@\[-\]_{}\x{00A1}\x{00A7}\x{00AB}\x{00B6}\x{00B7}\x{00BB}\x{00BF}\x{0964}\x{0965}\x{2010}-\x{2027}\x{2030}-\x{2043}\x{2045}-\x{2051}\x{2053}-\x{205E}\x{3001}-\x{3003}\x{3008}-\x{3011}\x{FF01}-\x{FF03}\x{FF05}-\x{FF0A}\x{FF0C}-\x{FF0F}\x{FF1A}\x{FF1B}\x{FF1F}\x{FF20}\x{FF3B}-\x{FF3D}\x{FF3F}\x{FF5B}\x{FF5D}]"
+        "replacement": r"\x{FFFD}", "emoji": f"[{maps.EMOJI}]", "bengali": BENGALI, "latin": LATIN, "digit": DIGIT,
+        "punctuation": PUNCTUATION, "whitespace": f"[{maps.WS}]",
+    }
+
+
+def char_class_counts(d: Spark, t: str) -> dict[str, str]:
+    """Characters of each class."""
+    return {k: d.occurrences(t, p) for k, p in char_class_patterns().items()}
+
+
+# Classes of Java's regular expressions; a character belongs to the first that fits
+BENGALI = r"\p{IsBengali}"
+LATIN = r"\p{IsLatin}"
+#: Numerals that are digits without being decimal ones (superscripts, circled digits), by the Unicode database
+_DIGITS = "".join(rf"\x{{{i:x}}}" for i in range(0x20000) if unicodedata.category(chr(i)) == "No" and chr(i).isdigit())
+DIGIT = rf"[\p{{Nd}}{_DIGITS}&&[^\p{{IsBengali}}{maps.EMOJI}]]"
+PUNCTUATION = rf"[\p{{P}}&&[^\p{{IsBengali}}{maps.EMOJI}]]"
 
 
 def orphan_nukta(d: Spark, t: str) -> str:

@@ -67,13 +67,17 @@ def heatmap(runs: DataFrame, severity: int = 3, metric: str = "accuracy") -> Dat
 
 
 def augmentation_match(runs: DataFrame, metric: str = "macro_f1") -> DataFrame:
-    """Models by train variant and severity, means of group means, types matched to the variant's group or not."""
-    group = noise_types(runs.sparkSession)
-    g = runs.where("severity > 0").join(F.broadcast(group), "noise_type")
-    own = F.when(F.col("train_variant") == "augmented_n1n4", "A").when(F.col("train_variant") == "augmented_n5n8", "B")
-    cond = F.when(own.isNull(), "baseline").when(own == F.col("noise_group"), "matched").otherwise("mismatched")
-    m = g.withColumn("condition", cond).groupBy("condition", "severity", "noise_group", "task", "model").agg(F.avg(metric).alias("m"))
-    return m.groupBy("condition", "severity").agg(F.avg("m").alias("mean"), F.count("*").alias("n_groups"))
+    """R11 by model, condition and severity: means of the group means of augmented runs, on the noise group they were
+    trained with (matched) or on the other (mismatched), next to those of clean runs on the same groups.
+
+    A group counts where it has a value; rows need an augmented and a baseline value.  Types of other groups are left out."""
+    pairs = [("matched", "augmented_n1n4", "A"), ("matched", "augmented_n5n8", "B"), ("mismatched", "augmented_n1n4", "B"), ("mismatched", "augmented_n5n8", "A")]
+    spark = runs.sparkSession
+    cells = F.broadcast(spark.createDataFrame(pairs, "condition string, variant string, noise_group string"))  # four rows
+    g = runs.where("severity > 0").join(F.broadcast(noise_types(spark)), "noise_type").groupBy("model", "train_variant", "noise_group", "severity").agg(F.avg(metric).alias("m"))
+    aug = g.join(cells, ["noise_group"]).where("train_variant = variant").groupBy("model", "condition", "severity").agg(F.avg("m").alias(f"augmented_{metric}"))
+    base = g.where("train_variant = 'clean'").join(cells, "noise_group").groupBy("model", "condition", "severity").agg(F.avg("m").alias(f"baseline_{metric}"))
+    return aug.join(base, ["model", "condition", "severity"])
 
 
 def rank_inversion(runs: DataFrame, metric: str = "macro_f1") -> DataFrame:
@@ -136,11 +140,42 @@ def cer_vs_drop(cer: DataFrame, runs: DataFrame) -> DataFrame:
     return long.join(acc, ["noise_type", "severity"]).crossJoin(clean).withColumn("drop", F.col("clean_acc") - F.col("acc"))  # clean is one row
 
 
-def job_costs(jobs: DataFrame, train_rate: float = 65.0, infer_rate: float = 200.0, epochs: int = 4, cells: int = 45) -> DataFrame:
-    """Hours of each job from its numbers of training and test rows."""
-    train = F.col("n_train") * epochs / train_rate * 1.2
-    test = F.col("n_test") * (cells + 1) / infer_rate
-    return jobs.withColumn("gpu_h", (train + test) / 3600)
+# Examples a second of training and inference, on a GPU and for the n-gram classifier, and the share of
+# an epoch that its validation takes; tasks whose cells run with the normaliser on and off
+TRAIN_RATE, INFER_RATE, CLASSICAL_TRAIN_RATE, CLASSICAL_INFER_RATE, VALIDATION = 65.0, 200.0, 4000.0, 20000.0, 0.20
+DOUBLED_TASKS = ("banfakenews",)
+
+
+def job_costs(jobs: DataFrame, epochs: int = 4, cells: int = 45, classical: tuple[str, ...] = ("char_ngram",), doubled: tuple[str, ...] = DOUBLED_TASKS) -> DataFrame:
+    """R16 from model, task, n_train and n_test: seconds of training and of the grid; hours of GPU, 0 for classical jobs."""
+    plain = F.col("model").isin(*classical)
+    predictions = F.col("n_test") * (F.when(F.col("task").isin(*doubled), 2 * cells).otherwise(cells) + 1)
+    train = F.when(plain, F.col("n_train") / CLASSICAL_TRAIN_RATE).otherwise(F.col("n_train") / TRAIN_RATE * (1 + VALIDATION) * epochs)
+    grid_s = F.when(plain, predictions / CLASSICAL_INFER_RATE).otherwise(predictions / INFER_RATE)
+    out = jobs.withColumns({"train_seconds": train, "grid_seconds": grid_s})
+    return out.withColumn("gpu_h", F.when(plain, 0.0).otherwise((F.col("train_seconds") + F.col("grid_seconds")) / 3600))
+
+
+def class_percent(composition: DataFrame, by: str = "dataset") -> DataFrame:
+    """One column a character class, percent of the group's characters; classes that are missing are 0."""
+    wide = composition.groupBy(by).pivot("char_class", maps.CHAR_CLASSES).agg(F.sum("n"))
+    filled = {c: F.coalesce(F.col(c), F.lit(0)) for c in maps.CHAR_CLASSES}
+    total = sum(filled.values(), F.lit(0))
+    return wide.select(by, *(F.coalesce(F.try_divide(F.lit(100.0) * x, total), F.lit(0.0)).alias(c) for c, x in filled.items()))
+
+
+def bars(quality: DataFrame, emoji: DataFrame, by: str = "dataset") -> DataFrame:
+    """Percent of rows with U+FFFD and of rows with an emoji by group (inventory and emoji rates of the same groups)."""
+    q = quality.groupBy(by).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_replacement_char").alias("n_lost"))
+    e = emoji.groupBy(by).agg(F.sum("n_rows").alias("n"), F.sum("n_bearing").alias("n_bearing"))
+    pct = lambda a, b: F.coalesce(F.try_divide(F.lit(100.0) * F.col(a), F.col(b)), F.lit(0.0))
+    return q.join(e, by).select(by, pct("n_lost", "n_rows").alias("pct_replacement"), pct("n_bearing", "n").alias("pct_emoji"))
+
+
+def model_table(spark: SparkSession, models: list[tuple]) -> DataFrame:
+    """The registry of models as a table in its order: name, kind, checkpoint, parameters, languages, normaliser."""
+    rows = [(i, *m) for i, m in enumerate(models)]
+    return spark.createDataFrame(rows, "position int, model string, kind string, checkpoint string, parameters_m double, languages string, normalizer boolean")
 
 
 def pack_sessions(jobs: DataFrame, session_h: float = 11.0, week_h: float = 30.0) -> DataFrame:

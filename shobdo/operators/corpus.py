@@ -69,12 +69,21 @@ def length_stats(df: DataFrame, *by: str) -> DataFrame:
     )
 
 
+#: Steps that one row is expanded to at a time
+STEPS = 10_000
+
+
 def length_ecdf(df: DataFrame, by: str = "dataset") -> DataFrame:
-    """W2 with ties in one step: for every length n of a group, the rows up to it and their share."""
+    """A step for every row of a group, ties one above the other: step (from 1), its length n and share step / rows.
+
+    Rows of one length are counted first and written out again in blocks, so no group is sorted or gathered."""
     counts = lengths(df, by).groupBy(by, "n").agg(F.count("*").alias("c"))
     w = Window.partitionBy(by)
-    out = counts.withColumn("n_upto", F.sum("c").over(w.orderBy("n")))
-    return out.select(by, "n", "c", "n_upto", (F.col("n_upto") / F.sum("c").over(w)).alias("share"))
+    upto = counts.withColumns({"last": F.sum("c").over(w.orderBy("n")), "total": F.sum("c").over(w)})
+    blocks = upto.select(by, "n", "c", "last", "total", F.explode(F.sequence(F.lit(0), F.expr(f"int((c - 1) div {STEPS})"))).alias("b"))
+    first = F.col("last") - F.col("c") + 1 + F.col("b") * STEPS
+    steps = blocks.select(by, "n", "total", F.explode(F.sequence(first, F.least(first + STEPS - 1, F.col("last")))).alias("step"))
+    return steps.select(by, "step", "n", (F.col("step") / F.col("total")).alias("share"))
 
 
 def class_balance(df: DataFrame, *by: str) -> DataFrame:
@@ -106,3 +115,11 @@ def raw_final_delta(raw: DataFrame, final: DataFrame, *by: str) -> DataFrame:
     both = long(raw, "raw_value").join(long(final, "final_value"), [*by, "metric"])
     pct = F.when(F.col("raw_value") == 0, 0.0).otherwise(F.lit(100.0) * F.try_divide("final_value", "raw_value"))
     return both.withColumn("delta", F.col("final_value") - F.col("raw_value")).withColumn("pct_of_raw", pct)
+
+
+def with_class_percent(inventory: DataFrame, composition: DataFrame, by: str = "dataset") -> DataFrame:
+    """An inventory with the percentages of the eight character classes as further metrics pct_<class>."""
+    from .analysis import class_percent
+
+    pct = class_percent(composition, by)
+    return inventory.join(pct.select(by, *(F.col(c).alias(f"pct_{c}") for c in maps.CHAR_CLASSES)), by)

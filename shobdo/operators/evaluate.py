@@ -120,6 +120,25 @@ def holm(tests: DataFrame, p: Column | str = "p_value", *family: str) -> DataFra
     """Step-down adjusted p within a family of tests (few rows): running maximum of (m - rank) p, at most 1."""
     w = Window.partitionBy(*family).orderBy(p)
     m = F.count("*").over(Window.partitionBy(*family))
-    raw = tests.withColumn("_x", (m - F.row_number().over(w) + 1) * F.col(p) if isinstance(p, str) else None)
+    raw = tests.withColumn("_x", (m - F.row_number().over(w) + 1) * (F.col(p) if isinstance(p, str) else p))
     out = raw.withColumn("p_holm", F.least(F.lit(1.0), F.max("_x").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     return out.drop("_x").withColumn("significant", F.col("p_holm") < 0.05)
+
+
+def significance(pairs: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
+    """M9: tests per task, severity and seed, and pooled: discordant counts summed and accuracies averaged over the seeds
+    there are, adjusted p within the family.  With `extra` = noise_type the tests of M10, each type a family of its own."""
+    cells = mcnemar_cells(pairs.where("severity > 0"), "task", "severity", "seed", *extra)
+    n = F.col("both_right") + F.col("only_a") + F.col("only_b") + F.col("neither")
+    seeded = mcnemar(cells).withColumns({"n_items": n, "acc_a": (F.col("both_right") + F.col("only_a")) / n, "acc_b": (F.col("both_right") + F.col("only_b")) / n})
+    seeded = seeded.withColumn("acc_diff", (F.col("only_a") - F.col("only_b")) / F.col("n_items"))
+    summed = seeded.groupBy("task", "severity", *extra).agg(
+        F.count("*").alias("seeds"), F.sum("n_items").alias("n_items"), F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"),
+        F.avg("acc_a").alias("acc_a"), F.avg("acc_b").alias("acc_b"), F.avg("acc_diff").alias("acc_diff"),
+    )
+    return seeded, holm(mcnemar(summed), "p_value", *extra)
+
+
+def pooled_test(pairs: DataFrame) -> DataFrame:
+    """Seeds and cells of a task and severity pooled before the test."""
+    return holm(mcnemar(mcnemar_cells(pairs.where("severity > 0"), "task", "severity")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maps
 from ..functions.dialect import SPARK, staged
+from ..functions.text import char_class_patterns, nfc, nfkc, valid_output
 from .noise import perturb
 from .prepare import sample
 
@@ -72,12 +73,13 @@ def severity_ratios(means: DataFrame) -> DataFrame:
 
 
 def achieved_rates(noised: DataFrame) -> DataFrame:
-    """A7, A27 by type and severity, over rows with eligible units."""
+    """A7, A27 by type and severity, over rows with eligible units; applied_of_requested is the mean of the rows' own
+    ratios, rows that ask for nothing left out (1 where all do), the other rates are ratios of means."""
     frac = F.element_at(F.create_map(*[F.lit(x) for kv in maps.FRACTIONS.items() for x in kv]), F.col("severity"))
     e = noised.where("n_eligible > 0").withColumn("frac", frac)
     return e.groupBy("noise_type", "severity").agg(
         F.count("*").alias("n_texts"), F.avg("n_eligible").alias("mean_eligible"), F.avg("n_requested").alias("mean_requested"), F.avg("n_applied").alias("mean_applied"),
-        F.coalesce(F.try_divide(F.sum("n_applied"), F.sum("n_requested")), F.lit(1.0)).alias("applied_of_requested"),
+        F.coalesce(F.avg(F.when(F.col("n_requested") > 0, F.col("n_applied") / F.col("n_requested"))), F.lit(1.0)).alias("applied_of_requested"),
         (F.sum("n_requested") / F.sum(F.col("n_eligible") * F.col("frac"))).alias("requested_of_nominal"),
         (F.sum("n_applied") / F.sum("n_eligible")).alias("achieved"),
         F.avg((~F.col("unchanged")).cast("int")).alias("changed"),
@@ -86,8 +88,6 @@ def achieved_rates(noised: DataFrame) -> DataFrame:
 
 def n5_firing(records: DataFrame, by: str = "dataset") -> DataFrame:
     """Eligible occurrences of every homophone set, per thousand texts, and texts with one; sets without any are 0."""
-    from ..functions.text import nfc
-
     names = ["/".join(s) for s in maps.HOMOPHONES]
     units = F.regexp_extract_all("t", F.lit(r"(?s).\x{09BC}|."), F.lit(0))
 
@@ -96,27 +96,130 @@ def n5_firing(records: DataFrame, by: str = "dataset") -> DataFrame:
 
     n = [F.struct(F.lit(name).alias("homophone_set"), members(s).alias("n")) for name, s in zip(names, maps.HOMOPHONES, strict=True)]
     rows = records.where("text is not null").select(by, nfc("text").alias("t")).select(by, units.alias("u")).select(by, F.inline(F.array(*n)))
-    return rows.groupBy(by, "homophone_set").agg(F.sum("n").alias("n_eligible"), F.count_if(F.col("n") > 0).alias("texts_with_ge1"), (F.lit(1000.0) * F.sum("n") / F.count("*")).alias("eligible_per_1k_texts"))
+    return rows.groupBy(by, "homophone_set").agg(F.sum("n").alias("n_eligible"), F.count_if(F.col("n") > 0).alias("texts_with_ge1"), F.count("*").alias("n_texts"), (F.lit(1000.0) * F.sum("n") / F.count("*")).alias("eligible_per_1k_texts"))
 
 
 def matra_round_trip(df: DataFrame, by: str, normalize=None) -> DataFrame:
     """Two-part vowel signs before and after NFC (or a pluggable normaliser), and texts in which their number changes."""
-    from ..functions.text import nfc
-
     n = lambda c: F.regexp_count(c, F.lit("[োৌ]|ে[াৗ]"))
     t = df.where("text is not null").select(by, F.col("text").alias("t"), (normalize or nfc)(F.col("text")).alias("z")).select(by, n("t").alias("a"), F.regexp_count("z", F.lit("[োৌ]")).alias("b"))
     return t.groupBy(by).agg(F.sum("a").alias("n_before"), F.sum("b").alias("n_after"), F.count_if(F.col("a") != F.col("b")).alias("n_failing"))
 
 
-def touched(df: DataFrame, normalize, by: str, text: str = "text") -> DataFrame:
-    """Rows that a pluggable normaliser (Column -> Column) changes, their share and how it changes them."""
-    from ..functions.text import char_class_counts, nfc
+def n5_applied(records: DataFrame, severity: int = 3, seeds: list[int] = tuple(maps.SEEDS), by: str = "dataset") -> DataFrame:
+    """Replaced units of every homophone set, summed over seeds, from the submodes."""
+    rows = perturb(records.where("text is not null").select(by, "text"), "homophone_confuse", [severity], list(seeds))
+    mode = rows.select(by, F.explode(F.split("submodes", ";")).alias("m")).select(by, F.split_part("m", F.lit("="), F.lit(1)).alias("homophone_set"), F.split_part("m", F.lit("="), F.lit(2)).cast("long").alias("n"))
+    return mode.groupBy(by, "homophone_set").agg(F.sum("n").alias("n_applied"))
+
+
+# Sets under review, and the occurrences in a thousand texts below which they are dropped
+REVIEWED, LEAST_PER_1K = ("ই/ঈ", "উ/ঊ"), 1.0
+
+
+def n5_review(firing: DataFrame) -> DataFrame:
+    """Occurrences of the sets under review over all datasets, and whether to drop them; firing as of n5_firing."""
+    f = firing.where(F.col("homophone_set").isin(*REVIEWED)).groupBy("homophone_set").agg(F.sum("n_eligible").alias("total_eligible"), F.sum("n_texts").alias("n_texts"))
+    per = F.lit(1000.0) * F.col("total_eligible") / F.greatest(F.lit(1), F.col("n_texts"))
+    return f.select("homophone_set", "total_eligible", per.alias("eligible_per_1k_texts"), (per < LEAST_PER_1K).alias("recommend_drop"))
+
+
+def char_differences(before: str = "t", after: str = "z"):
+    """(class, characters more on either side) of two texts: the multiset difference of their characters, both ways.
+
+    Characters are counted by their distinct values, so the cost is the text's length times its alphabet."""
+    chars = f"array_distinct(concat(split({before}, ''), split({after}, '')))"
+    n = lambda t: f"(length({t}) - length(replace({t}, c, '')))"
+    cls = "CASE " + " ".join(f"WHEN c RLIKE {SPARK.lit(p)} THEN '{k}'" for k, p in char_class_patterns().items()) + " ELSE 'other' END"
+    return f"transform(filter({chars}, c -> c <> ''), c -> struct({cls} AS k, abs({n(before)} - {n(after)}) AS n))"
+
 
+def described(df: DataFrame, before: str, after: str) -> DataFrame:
+    """F18, F19 for two text columns: kind (classes by falling number of changed characters, the lengths if they differ, ==NFKC where
+    compatibility composition gives the same), offset of the first difference, length before and its change."""
+    d = df.withColumn("_d", F.expr(char_differences(f"`{before}`", f"`{after}`"))).withColumn("_k", nfkc(F.col(before)))
+    totals = F.expr("filter(transform(array({}), k -> struct(-aggregate(filter(_d, x -> x.k = k), 0, (a, x) -> a + x.n) AS m, k AS k)), x -> x.m < 0)".format(", ".join(f"'{c}'" for c in maps.CHAR_CLASSES)))
+    tags = F.transform(F.array_sort(totals), lambda x: x["k"])
+    lens = F.when(F.length(before) != F.length(after), F.array(F.concat(F.lit("len "), F.length(before), F.lit("->"), F.length(after)))).otherwise(F.array())
+    same = F.when(F.col("_k") == F.col(after), F.array(F.lit("==NFKC"))).otherwise(F.array())
+    joined = F.array_join(F.concat(tags, lens, same), ", ")
+    kind = F.when(F.col(before) == F.col(after), "unchanged").when(joined == "", "other").otherwise(joined)
+    first = F.expr(f"array_position(zip_with(split(`{before}`, ''), split(`{after}`, ''), (x, y) -> x IS NULL OR y IS NULL OR x <> y), true)")
+    offset = F.when(F.col(before) == F.col(after), F.length(before)).otherwise(first - 1).cast("int")
+    return d.withColumns({"kind": kind, "offset_first_diff": offset, "length_before": F.length(before), "length_delta": F.length(after) - F.length(before)}).drop("_d", "_k")
+
+
+# Fixed value: share of touched texts below which a dataset's normaliser condition is dropped
+LEAST_TOUCHED = 0.05
+
+
+def touched(df: DataFrame, normalize, by: str, text: str = "text") -> DataFrame:
+    """F16, A26 by group: kinds of change that a pluggable normaliser (Column -> Column) makes, most frequent first, the
+    share of texts it changes and whether that is too small to keep the condition (null for the pooled group ALL)."""
     t = df.where(F.col(text).isNotNull()).select(by, nfc(text).alias("t")).withColumn("z", normalize(F.col("t")))
-    classes = char_class_counts(SPARK, "t")
-    diffs = [F.struct((-F.abs(F.expr(e) - F.expr(e.replace("(t,", "(z,")))).alias("d"), F.lit(c).alias("c")) for c, e in classes.items()]
-    kind = F.when(F.col("t") == F.col("z"), "unchanged").otherwise(F.concat_ws(" ", F.array_sort(F.array(*diffs))[0]["c"], F.concat(F.lit("len "), F.length("t"), F.lit("->"), F.length("z"))))
-    w = Window.partitionBy(by)
-    kinds = t.select(by, kind.alias("kind")).groupBy(by, "kind").agg(F.count("*").alias("n"))
+    kinds = described(t, "t", "z").groupBy(by, "kind").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(by)  # kinds of one group: few
     rate = F.sum(F.when(F.col("kind") != "unchanged", F.col("n")).otherwise(0)).over(w) / F.sum("n").over(w)
-    return kinds.withColumn("touch_rate", rate)
+    out = kinds.withColumn("touch_rate", rate)
+    return out.withColumn("recommend_drop", F.when(F.col(by) != "ALL", F.col("touch_rate") < LEAST_TOUCHED))
+
+
+def touch_examples(df: DataFrame, normalize, by: str, key: str, k: int = 12, text: str = "text") -> DataFrame:
+    """The first k changed texts of each group by key, described without their words (the limit is the feature)."""
+    t = df.where(F.col(text).isNotNull()).select(by, key, nfc(text).alias("t")).withColumn("z", normalize(F.col("t"))).where("t <> z")
+    first = t.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(key))).where(F.col("_r") <= k)
+    return described(first, "t", "z").select(by, key, "kind", "offset_first_diff", "length_before", "length_delta")
+
+
+def survival(texts: DataFrame, normalize, severity: int = 3, seeds: list[int] = tuple(maps.SEEDS)) -> DataFrame:
+    """A8 by type: mean error rate of the original against the normalised noisy text, and how often the normaliser changed anything."""
+    noisy = all_types(texts, [severity], list(seeds)).withColumn("z", normalize(F.col("noised")))
+    rows = with_distance(noisy.select("noise_type", "t", "noised", nfc("z").alias("z")), "t", "z")
+    return rows.groupBy("noise_type").agg(F.avg("cer").alias("post_normalizer_cer"), F.avg((F.col("z") != F.col("noised")).cast("int")).alias("touch_rate"))
+
+
+def emoji_coverage(df: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
+    """A10: how far the emoji ranges agree with a list of emoji sequences (`known`, one column emoji): occurrences in
+    the texts, those with any and with all characters in the ranges (what glues sequences left out), and the distinct
+    characters that only the ranges call emoji.  The list is joined by broadcast (a few thousand rows at most)."""
+    glue = "".join(rf"\x{{{ord(c):x}}}" for c in maps.EMOJI_GLUE)
+    e = known.select("emoji").distinct().withColumn("core", F.regexp_replace("emoji", f"[{glue}]", ""))
+    e = e.withColumns({"n": F.length("core"), "hits": F.regexp_count("core", F.lit(f"[{maps.EMOJI}]"))})
+    t = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
+    # sequences as whole clusters of the text
+    seen = t.select(F.explode(F.expr("regexp_extract_all(t, '\\\\X', 0)")).alias("emoji")).where(F.length("emoji") > 0).groupBy("emoji").agg(F.count("*").alias("c"))
+    hit = seen.join(F.broadcast(e), "emoji")
+    count = hit.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n_occurrences"), F.coalesce(F.sum(F.when(F.col("hits") > 0, F.col("c"))), F.lit(0)).alias("n_caught_any"),
+        F.coalesce(F.sum(F.when((F.col("n") > 0) & (F.col("hits") == F.col("n")), F.col("c"))), F.lit(0)).alias("n_caught_full"),
+        F.slice(F.array_sort(F.collect_set(F.when((F.col("n") > 0) & (F.col("hits") == 0), F.col("emoji")))), 1, 25).alias("uncaught"),
+    )
+    chars = seen.select(F.explode(F.split("emoji", "")).alias("ch")).where(F.col("ch").rlike(f"^[{maps.EMOJI}]$")).distinct()
+    over = chars.join(hit.select(F.explode(F.split("core", "")).alias("ch")).distinct(), "ch", "left_anti").agg(F.count("*").alias("n_false_positive_codepoints"))
+    share = lambda c: F.coalesce(F.try_divide(c, "n_occurrences"), F.lit(0.0))
+    return count.crossJoin(over).withColumns({"coverage_any": share("n_caught_any"), "coverage_full": share("n_caught_full")})  # one row each
+
+
+def report_checks(texts: DataFrame, seeds: list[int] = (42,)) -> DataFrame:
+    """A28, A27 by type: whether noise is the same again, rises with severity, stays valid, and changes what is eligible at 5."""
+    noised = all_types(texts, [1, 2, 3, 4, 5], list(seeds))
+    again = all_types(texts, [1, 2, 3, 4, 5], list(seeds)).groupBy("noise_type").agg(F.sum(F.xxhash64("t", "severity", "seed", "noised").cast("decimal(38,0)")).alias("h2"))
+    # NFC runs in Python, so what is aggregated is computed before
+    n = with_distance(noised, "t", "noised").withColumn("normal", nfc("noised")).withColumn("valid", F.expr(valid_output(SPARK, "noised", "normal")) | ~F.expr(valid_output(SPARK, "t", "t")))
+    rate = lambda s: F.avg(F.when(F.col("severity") == s, F.col("cer")))
+    out = n.groupBy("noise_type").agg(
+        F.sum(F.xxhash64("t", "severity", "seed", "noised").cast("decimal(38,0)")).alias("h1"), *(rate(s).alias(f"s{s}") for s in range(1, 6)),
+        F.count_if(~F.col("valid")).alias("n_invalid"), F.avg(F.when((F.col("severity") == 5) & (F.col("n_eligible") > 0), (~F.col("unchanged")).cast("int"))).alias("changed_s5"),
+    )
+    rising = reduce(lambda x, y: x & y, [F.col(f"s{k + 1}") > F.col(f"s{k}") for k in range(1, 5)])
+    return out.join(again, "noise_type").select("noise_type", (F.col("h1") == F.col("h2")).alias("deterministic"), rising.alias("strictly_increasing"), "n_invalid", (F.col("changed_s5") >= 0.95).alias("changes"))
+
+
+def deletion_cer(texts: DataFrame, severities: list[int], seeds: list[int]) -> DataFrame:
+    """Noised rows of deletion noise with their error rate.  What remains is a subsequence of the text's clusters, so if it still has as
+    many clusters as were left, the distance is the number deleted; only where clusters have joined is it computed."""
+    own = texts.withColumn("text", nfc("text")).withColumn("_n", F.regexp_count("text", F.lit(maps.CLUSTER)))
+    rows = perturb(own, "char_delete", severities, seeds).withColumn("_left", F.regexp_count("noised", F.lit(maps.CLUSTER)))
+    plain = rows.where("_left = _n - n_applied").withColumn("cer", F.col("n_applied") / F.greatest(F.lit(1), F.col("_n")).cast("double"))
+    joined = with_distance(rows.where("_left <> _n - n_applied"), "t", "noised").drop("distance")
+    return plain.unionByName(joined).drop("_n", "_left")

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ def char_ngrams(text: str = "text", low: int = 2, high: int = 5):
 
     def grams(w, n: int):
         padded = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+        # a word shorter than n is one n-gram of its own, for the least n it is shorter than or as long as only
+        all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, all_).otherwise(F.array().cast("array<string>")) if n > low else all_
 
     return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*(grams(w, n) for n in range(low, high + 1))))))
 
@@ -45,9 +48,10 @@ def fit(train: DataFrame, vocabulary: int = ALL_NGRAMS, iterations: int = 20) ->
     # features once, in few partitions: every iteration of every class reads them
     parts = max(1, min(weighted.rdd.getNumPartitions(), n // ROWS_A_TASK + 1))
     grams = weighted.withColumn("grams", char_ngrams()).select("grams", F.col("label").cast("double").alias("label"), "weight").coalesce(parts)
-    features = Pipeline(stages=[
-        CountVectorizer(inputCol="grams", outputCol="tf", minDF=2.0, vocabSize=vocabulary), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features"),
-    ]).fit(grams)
+    counted = Pipeline(stages=[CountVectorizer(inputCol="grams", outputCol="tf", minDF=2.0, vocabSize=vocabulary), IDF(inputCol="tf", outputCol="unused")]).fit(grams)
+    # the library's weights are ln((n + 1) / (df + 1)); the smoothed ones are greater by one
+    weights = ElementwiseProduct(scalingVec=Vectors.dense(counted.stages[1].idf.toArray() + 1.0), inputCol="tf", outputCol="tfidf")
+    features = PipelineModel([counted.stages[0], weights, Normalizer(inputCol="tfidf", outputCol="features")])
     ready = features.transform(grams).select("features", "label", "weight").persist()
     svm = LinearSVC(maxIter=iterations, regParam=1.0 / max(n, 1), weightCol="weight")
     model = OneVsRest(classifier=svm, weightCol="weight", parallelism=3).fit(ready)
@@ -85,3 +89,27 @@ def evaluate_grid(test: DataFrame, predict: Callable[[DataFrame], DataFrame], se
     noisy = all_types(test, severities, [seed], types).withColumn("text", F.col("noised")).select(*test.columns, "noise_type", "severity")
     both = noisy.unionByName(test.withColumns({"noise_type": F.lit(""), "severity": F.lit(0)}))
     return summary(predict(both).withColumnRenamed("label", "y_true"), "noise_type", "severity")
+
+
+def run_job(model: str, task: str, seed: int, variant: str, train: DataFrame, test: DataFrame, results: str, severities: list[int] = (1, 2, 3, 4, 5), types: list[str] = tuple(maps.NOISE_TYPES), normalizer: str = "on") -> bool:
+    """One run from its rows to its results: nothing if all cells of the run are there, else augment, fit, evaluate
+    on clean text and on the grid, and append the cells that are missing.  True if it ran."""
+    from ..sources.sinks import append_results, exists
+
+    spark, run_id = train.sparkSession, f"{model}__{task}__{seed}__{variant}"
+    wanted = 1 + len(types) * len(severities)
+    if exists(spark, results):
+        done = spark.read.parquet(results).where((F.col("run_id") == run_id) & (F.col("normalizer") == normalizer)).select("noise_type", "severity").distinct().count()
+        if done >= wanted:
+            return False
+    fitted = fit(train_variant(train, variant, seed).select("text", "label"))
+    cells = evaluate_grid(test, predictor(fitted), list(severities), seed, list(types))
+    named = {"run_id": run_id, "model": model, "task": task, "train_variant": variant, "normalizer": normalizer}
+    out = cells.withColumns({k: F.lit(v) for k, v in named.items()}).withColumns({"seed": F.lit(seed), "timestamp": F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
+    append_results(out.withColumn("noise_type", F.when(F.col("noise_type") == "", "none").otherwise(F.col("noise_type"))), results)
+    return True
+
+
+def squashed(score):
+    """a decision value as a score between 0 and 1."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))

@@ -219,6 +219,10 @@ def grid_sql(severities: list[int], seeds: list[int]) -> str:
     return " UNION ALL ".join(rows)
 
 
+#: Bytes of input that may be shuffled whole so that all cores have a share
+SMALL = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores where the input is too small to be split among them; larger inputs stay as they are.
 
@@ -229,7 +233,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(cores) if size < min(cores * split, SMALL) else df
 
 
 def eligible_units(df: DataFrame, noise_type: str, text: str = "text") -> DataFrame:

@@ -11,9 +11,10 @@ any other empty field is valid; repeated lines keep their own line_id; extra col
 
 from __future__ import annotations
 
-import datetime as dt
+import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
@@ -49,13 +50,20 @@ def _utf8(raw: bytes) -> bool:
         return False
 
 
-def _day(s: str) -> dt.date | None:
-    if len(s) != 10 or not s.isascii() or s[4] != "-" or s[7] != "-" or not (s[:4] + s[5:7] + s[8:]).isdigit():
-        return None
-    try:
-        return dt.date(int(s[:4]), int(s[5:7]), int(s[8:]))
-    except ValueError:
-        return None
+_MONTHS = np.array([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])
+
+
+def days(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings are real days as YYYY-MM-DD, and the days."""
+    ok = pc.match_substring_regex(col, r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+    text = pc.if_else(ok, col, "1970-01-01")
+    y, m, d = (pc.utf8_slice_codeunits(text, i, j).cast(pa.int64()).to_numpy(zero_copy_only=False) for i, j in ((0, 4), (5, 7), (8, 10)))
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    real = (y > 0) & (m >= 1) & (m <= 12)
+    real &= (d >= 1) & (d <= _MONTHS[np.clip(m, 1, 12) - 1] + (leap & (m == 2)))
+    real &= ok.to_numpy(zero_copy_only=False)
+    month = ((y - 1970) * 12 + m - 1).astype("datetime64[M]")
+    return real, month.astype("datetime64[D]") + (d - 1)
 
 
 def read_records(records: list[bytes], n_columns: int) -> tuple[pa.Table, set[int]]:
@@ -69,7 +77,9 @@ def read_records(records: list[bytes], n_columns: int) -> tuple[pa.Table, set[in
     names = [f"f{i}" for i in range(n_columns)]
     head = b",".join([b"x"] * n_columns)  # keeps a byte order mark of the first record in its field
     joined = b"\0".join(records)
-    cr, lf = [b for b in _STAND_INS if b not in joined][:2]
+    # longer ones where the records hold all short ones; of different characters, so that none can arise by accident
+    free = (b"".join(x) for k in range(1, len(_STAND_INS)) for x in itertools.permutations(_STAND_INS, k))
+    cr, lf = itertools.islice((b for b in free if b not in joined), 2)
     wrong = b",".join([b"x"] * (n_columns + 1))  # an empty record has one field, which the reader would pad
     body = [wrong if n_columns > 1 and r in (b"", b"\r") else r.removesuffix(b"\r").replace(b"\r", cr).replace(b"\n", lf) for r in records]
     data = b"\n".join([head, *body]) + b"\n"
@@ -103,8 +113,9 @@ def label_cells(table: pa.Table, columns: list[str]) -> dict:
             ok = [k and "\n" not in v for k, v in zip(ok, col.to_pylist(), strict=True)]
             out["article_id"] = [v if k else None for v, k in zip(col.to_pylist(), ok, strict=True)]
         elif name == "date":
-            out["published"] = [_day(v) for v in col.to_pylist()]
-            ok = [v is not None for v in out["published"]]
+            real, day = days(col)
+            ok = real.tolist()
+            out["published"] = [v if k else None for v, k in zip(day.tolist(), ok, strict=True)]
         else:
             if name in TEXTS:
                 out["text"] = col.to_pylist()
@@ -155,12 +166,28 @@ def _batches(batches):
         yield pa.RecordBatch.from_arrays(keys + arrays, schema=_ARROW)
 
 
-def parse_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Every line with its reason (null: valid) and, where it parsed, its fields and typed values."""
+def _reasons(batches):
+    """line_id and reason of the rows that fail, without their values."""
+    for batch in _batches(batches):
+        failed = batch.filter(batch.column(3).is_valid())
+        yield failed.select(["line_id", "reason"])
+
+
+def failures(lines: DataFrame, inventory: DataFrame) -> DataFrame:
+    """line_id, reason of the lines that fail."""
+    return _with_columns(lines, inventory).mapInArrow(_reasons, "line_id bigint, reason string")
+
+
+def _with_columns(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     # one row a file even if the inventory repeats a name
     files = inventory.groupBy("file_name").agg(F.min("columns").alias("columns"))
     src = lines.select("line_id", "file_name", F.col("line_no").cast("int").alias("line_no"), "raw")
-    return src.join(files, "file_name", "left").select("line_id", "file_name", "line_no", "raw", "columns").mapInArrow(_batches, SCHEMA)
+    return src.join(files, "file_name", "left").select("line_id", "file_name", "line_no", "raw", "columns")
+
+
+def parse_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Every line with its reason (null: valid) and, where it parsed, its fields and typed values."""
+    return _with_columns(lines, inventory).mapInArrow(_batches, SCHEMA)
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

@@ -42,16 +42,26 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first.select(*keys, "_r.*", "n_copies")
 
 
-def cleaned_all(records: DataFrame) -> DataFrame:
-    """F1 to F9 with verdict per distinct text: '' kept, 'short', 'non_bengali'; n_copies rows had the text."""
+def cleaned_all(records: DataFrame, *carry: str) -> DataFrame:
+    """F1 to F9 with verdict per distinct text: '' kept, 'short', 'non_bengali'; n_copies rows had the text.
+
+    The key of a text is 96 bits of it, so what is shuffled is narrow; clean_text travels only if it is among `carry`."""
     df = records.select("record_id", "dataset", F.coalesce("split", F.lit("")).alias("src_split"), "source", "text", "label")
     df = preprocessed(df).drop("text")
     df = df.withColumn("key_split", F.when(F.col("dataset").isin(*SHIPPED), F.col("src_split")).otherwise(""))
-    df = keep_first(df, ["dataset", "key_split", "clean_text"], "record_id")
     n = F.expr(SPARK.occurrences("clean_text", maps.CLUSTER))
     bengali = F.regexp_count("clean_text", F.lit("[ঀ-৿]"))
-    verdict = F.when(n < LEAST_CLUSTERS, "short").when(bengali == 0, "non_bengali").otherwise("")
-    return df.withColumn("n_clusters", n).withColumn("verdict", verdict).withColumn("id", row_id(F.col("dataset"), F.col("key_split"), F.col("clean_text")))
+    df = df.withColumns({"n_clusters": n, "_k": F.xxhash64("clean_text"), "_k2": F.hash("clean_text"), "id": row_id(F.col("dataset"), F.col("key_split"), F.col("clean_text"))})
+    df = df.withColumn("verdict", F.when(F.col("n_clusters") < LEAST_CLUSTERS, "short").when(bengali == 0, "non_bengali").otherwise(""))
+    df = df.select("dataset", "key_split", "_k", "_k2", "record_id", "id", "label", "src_split", "source", "n_clusters", "verdict", *carry)
+    return keep_first(df, ["dataset", "key_split", "_k", "_k2"], "record_id").drop("_k", "_k2")
+
+
+def cross_split_warning(records: DataFrame) -> DataFrame:
+    """by dataset, rows whose cleaned text another split of the dataset has as well, all copies counted."""
+    df = preprocessed(records.where("split is not null").select("dataset", "split", "text"))
+    per = df.select("dataset", "split", F.xxhash64("clean_text").alias("k"), F.hash("clean_text").alias("k2")).groupBy("dataset", "k", "k2").agg(F.count("*").alias("n"), F.size(F.collect_set("split")).alias("s"))
+    return per.groupBy("dataset").agg(F.sum(F.when(F.col("s") > 1, F.col("n")).otherwise(0)).alias("n_rows_recurring"))
 
 
 def prep_stats(records: DataFrame) -> DataFrame:
@@ -84,7 +94,7 @@ def _ranked(df: DataFrame) -> DataFrame:
     sizes = df.groupBy("dataset", "label", "_b").agg(F.count("*").alias("_c"))  # at most 256 rows a label
     w = Window.partitionBy("dataset", "label")
     before = sizes.withColumn("_before", F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_n", F.sum("_c").over(w))
-    df = df.join(before.drop("_c"), ["dataset", "label", "_b"])
+    df = df.join(F.broadcast(before.drop("_c")), ["dataset", "label", "_b"])  # 256 rows a label of a dataset at most
     rank = F.coalesce("_before", F.lit(0)) + F.row_number().over(Window.partitionBy("dataset", "label", "_b").orderBy("_h")) - 1
     df = df.withColumn("_rank", rank)
     train = F.bround(F.col("_n") * F.lit(TRAIN_SHARE), 0)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import maps
 from ..functions.dialect import DUCK
-from ..functions.text import BENGALI, char_class_counts, cluster_count, orphan_nukta, preprocess, valid_output, nfc
-from ..operators import corpus, noise, prepare
+from ..functions.text import cluster_count, nfc, orphan_nukta, valid_output
+from ..operators import analysis, corpus, metrics, noise, prepare
+from . import independent
 from .noise_queries import records
 
 QUERIES, SQL = {}, {}
@@ -42,12 +43,12 @@ def token_spans(spark, d):
     return df.select("record_id", F.size(tokens).alias("n_tokens"), F.coalesce(F.array_max(sizes), F.lit(0)).alias("longest"))
 
 
-@query(f"SELECT record_id, md5({preprocess(DUCK, 't')}) AS clean_md5 FROM ({_N})")
+@query(f"SELECT record_id, md5({independent.cleaned('t')}) AS clean_md5 FROM ({_N})")
 def preprocess_text(spark, d):
     return prepare.preprocessed(records(spark, d).select("record_id", "text")).select("record_id", F.md5("clean_text").alias("clean_md5"))
 
 
-_CLASSES = char_class_counts(DUCK, "t")
+_CLASSES = {c: independent.count("t", p) for c, p in independent.CLASSES.items()}
 
 
 @query(
@@ -65,7 +66,7 @@ def latin_share(spark, d):
 
 
 _QUALITY = f"""count(*) AS n_rows, count(DISTINCT t) AS n_unique, count(*) - count(DISTINCT t) AS n_duplicate_rows,
-  sum((NOT regexp_matches(t, '[^{maps.WS}]'))::INT) AS n_empty_or_whitespace, sum((NOT regexp_matches(t, '{BENGALI}'))::INT) AS n_zero_bangla,
+  sum((NOT regexp_matches(t, '[^{independent.SPACE}]'))::INT) AS n_empty_or_whitespace, sum((NOT regexp_matches(t, '\\p{{Bengali}}'))::INT) AS n_zero_bangla,
   sum(contains(t, chr(65533))::INT) AS n_replacement_char, sum(regexp_matches(t, '[{maps.EMOJI}]')::INT) AS n_emoji_bearing"""
 
 
@@ -74,7 +75,11 @@ def quality_inventory(spark, d):
     return corpus.quality_inventory(records(spark, d), "delivery_id", "dataset")
 
 
-@query("SELECT delivery_id, dataset, n_rows, n_unique, n_duplicate_rows, n_empty_or_whitespace, n_zero_bangla, n_replacement_char, n_emoji_bearing, true AS agrees FROM quality_inventory")
+_NAMES = "n_rows, n_unique, n_duplicate_rows, n_empty_or_whitespace, n_zero_bangla, n_replacement_char, n_emoji_bearing"
+
+
+@query(f"""WITH o AS (SELECT delivery_id, dataset, {_QUALITY} FROM ({_T}) GROUP BY 1, 2)
+  SELECT q.delivery_id, q.dataset, {', '.join('q.' + x for x in _NAMES.split(', '))}, coalesce(({', '.join('q.' + x for x in _NAMES.split(', '))}) = ({', '.join('o.' + x for x in _NAMES.split(', '))}), false) AS agrees FROM quality_inventory q LEFT JOIN o USING (delivery_id, dataset)""")
 def quality_inventory_agrees(spark, d):
     """The shipped figures next to whether a recount gives the same."""
     ours = quality_inventory(spark, d)
@@ -85,7 +90,7 @@ def quality_inventory_agrees(spark, d):
 
 
 _KEY = "CASE WHEN dataset = 'sentnob' THEN coalesce(split, '') ELSE '' END"
-_CLEAN = f"""SELECT dataset, {_KEY} AS key_split, {preprocess(DUCK, 't')} AS clean_text, min(record_id) AS record_id, count(*) AS n_copies,
+_CLEAN = f"""SELECT dataset, {_KEY} AS key_split, {independent.cleaned('t')} AS clean_text, min(record_id) AS record_id, count(*) AS n_copies,
   arg_min(coalesce(split, ''), record_id) AS src_split, arg_min(coalesce(label, -1), record_id) AS label FROM ({_N}) GROUP BY 1, 2, 3"""
 _VERDICT = f"""SELECT *, CASE WHEN {cluster_count(DUCK, 'clean_text')} < 3 THEN 'short' WHEN NOT regexp_matches(clean_text, '[\\x{{0980}}-\\x{{09FF}}]') THEN 'non_bengali' ELSE '' END AS verdict,
   dataset || '-' || substr(sha1(dataset || chr(0) || key_split || chr(0) || clean_text), 1, 16) AS id FROM ({_CLEAN})"""
@@ -93,7 +98,7 @@ _VERDICT = f"""SELECT *, CASE WHEN {cluster_count(DUCK, 'clean_text')} < 3 THEN
 
 @query(f"SELECT dataset, key_split, md5(clean_text) AS text_md5, record_id, n_copies FROM ({_CLEAN})")
 def dup_keep_first(spark, d):
-    return prepare.cleaned_all(records(spark, d)).select("dataset", "key_split", F.md5("clean_text").alias("text_md5"), "record_id", "n_copies")
+    return prepare.cleaned_all(records(spark, d), "clean_text").select("dataset", "key_split", F.md5("clean_text").alias("text_md5"), "record_id", "n_copies")
 
 
 @query(f"SELECT id, dataset, verdict FROM ({_VERDICT})")
@@ -151,7 +156,7 @@ def leakage_raw(spark, d):
     return prepare.leakage(records(spark, d))
 
 
-@query(_leak_sql(preprocess(DUCK, "t")))
+@query(_leak_sql(independent.cleaned("t")))
 def leakage_clean(spark, d):
     df = prepare.preprocessed(records(spark, d).select("dataset", "split", "text"))
     return prepare.leakage(df, "clean_text")
@@ -164,8 +169,8 @@ def length_stats_upper_median(spark, d):
     return corpus.length_stats(records(spark, d), "dataset").withColumns({"mean_clusters": F.round("mean_clusters", 9), "pct_over_cap": F.round("pct_over_cap", 9)})
 
 
-@query(f"""WITH l AS (SELECT dataset, {cluster_count(DUCK, 't')} AS n FROM ({_T})), c AS (SELECT dataset, n, count(*) AS c FROM l GROUP BY 1, 2)
-  SELECT dataset, n, c, CAST(sum(c) OVER (PARTITION BY dataset ORDER BY n) AS BIGINT) AS n_upto, round(sum(c) OVER (PARTITION BY dataset ORDER BY n) / sum(c) OVER (PARTITION BY dataset), 9) AS share FROM c""")
+@query(f"""SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY n) AS step, n, round(row_number() OVER (PARTITION BY dataset ORDER BY n) / count(*) OVER (PARTITION BY dataset), 9) AS share
+  FROM (SELECT dataset, {cluster_count(DUCK, 't')} AS n FROM ({_T}))""")
 def length_ecdf(spark, d):
     return corpus.length_ecdf(records(spark, d)).withColumn("share", F.round("share", 9))
 
@@ -181,21 +186,62 @@ def emoji_rate(spark, d):
     return corpus.bearing_rate(records(spark, d), f"[{maps.EMOJI}]", "dataset", "split").withColumn("rate", F.round("rate", 9))
 
 
-_RAW_Q = f"SELECT dataset, {_QUALITY} FROM ({_T}) GROUP BY 1"
-_FIN_Q = f"SELECT dataset, {_QUALITY} FROM (SELECT dataset, clean_text AS t FROM ({_VERDICT}) WHERE verdict = '') GROUP BY 1"
-_METRICS = ["n_rows", "n_unique", "n_duplicate_rows", "n_empty_or_whitespace", "n_zero_bangla", "n_replacement_char", "n_emoji_bearing"]
+_PCT = ", ".join(f"round(100.0 * sum({e}) / sum(length(t)), 6) AS pct_{c}" for c, e in _CLASSES.items()) + ", round(100.0 * (sum(length(t)) - " + " - ".join(f"sum({e})" for e in _CLASSES.values()) + ") / sum(length(t)), 6) AS pct_other"
+_RAW_Q = f"SELECT dataset, {_QUALITY}, {_PCT} FROM ({_T}) GROUP BY 1"
+_FIN_Q = f"SELECT dataset, {_QUALITY}, {_PCT} FROM (SELECT dataset, clean_text AS t FROM ({_VERDICT}) WHERE verdict = '') GROUP BY 1"
+_METRICS = [*_NAMES.split(", "), *(f"pct_{c}" for c in maps.CHAR_CLASSES)]
 
 
 @query(f"WITH a AS ({_RAW_Q}), b AS ({_FIN_Q}) " + " UNION ALL ".join(
-    f"SELECT dataset, '{m}' AS metric, a.{m}::DOUBLE AS raw_value, b.{m}::DOUBLE AS final_value, (b.{m} - a.{m})::DOUBLE AS delta, round(CASE WHEN a.{m} = 0 THEN 0 ELSE 100.0 * b.{m} / a.{m} END, 6) AS pct_of_raw FROM a JOIN b USING (dataset)" for m in _METRICS))
+    f"SELECT dataset, '{m}' AS metric, a.{m}::DOUBLE AS raw_value, b.{m}::DOUBLE AS final_value, round((b.{m} - a.{m})::DOUBLE, 5) AS delta, round(CASE WHEN a.{m} = 0 THEN 0 ELSE 100.0 * b.{m} / a.{m} END, 3) AS pct_of_raw FROM a JOIN b USING (dataset)" for m in _METRICS))
 def raw_final_delta(spark, d):
     rows = records(spark, d)
-    final = prepare.cleaned_all(rows).where("verdict = ''").select("dataset", F.col("clean_text").alias("text"))
-    out = corpus.raw_final_delta(corpus.quality_inventory(rows, "dataset"), corpus.quality_inventory(final, "dataset"), "dataset")
-    return out.withColumn("pct_of_raw", F.round("pct_of_raw", 6))
+    final = prepare.cleaned_all(rows, "clean_text").where("verdict = ''").select("dataset", F.col("clean_text").alias("text"))
+
+    def full(df):
+        return corpus.with_class_percent(corpus.quality_inventory(df, "dataset"), corpus.char_class_composition(df)).select("dataset", *(F.round(m, 6).alias(m) if m.startswith("pct") else m for m in _METRICS))
+
+    out = corpus.raw_final_delta(full(rows), full(final), "dataset")
+    return out.withColumns({"pct_of_raw": F.round("pct_of_raw", 3), "delta": F.round("delta", 5)})
+
+
+@query("WITH s AS (SELECT dataset, " + ", ".join(f"sum({e}) AS {c}" for c, e in _CLASSES.items()) + f", sum(length(t)) AS total FROM ({_T}) GROUP BY dataset) SELECT dataset, "
+       + ", ".join(f"round(100.0 * {c} / total, 6) AS {c}" for c in _CLASSES) + ", round(100.0 * (total - " + " - ".join(_CLASSES) + ') / total, 6) AS "other" FROM s')
+def class_percent(spark, d):
+    out = analysis.class_percent(corpus.char_class_composition(records(spark, d)))
+    return out.select("dataset", *(F.round(c, 6).alias(c) for c in maps.CHAR_CLASSES))
+
+
+@query(f"SELECT dataset, round(100.0 * sum(contains(t, chr(65533))::INT) / count(*), 6) AS pct_replacement, round(100.0 * sum(regexp_matches(t, '[{maps.EMOJI}]')::INT) / count(*), 6) AS pct_emoji FROM ({_T}) WHERE dataset IS NOT NULL GROUP BY 1")
+def bars(spark, d):
+    rows = records(spark, d)
+    out = analysis.bars(corpus.quality_inventory(rows, "dataset"), corpus.bearing_rate(rows, f"[{maps.EMOJI}]", "dataset"))
+    return out.select("dataset", F.round("pct_replacement", 6).alias("pct_replacement"), F.round("pct_emoji", 6).alias("pct_emoji"))
+
+
+@query(f"""WITH x AS (SELECT dataset, split, {independent.cleaned('t')} AS c FROM ({_N}) WHERE split IS NOT NULL)
+  SELECT dataset, CAST(coalesce(sum(n) FILTER (WHERE s > 1), 0) AS BIGINT) AS n_rows_recurring FROM (SELECT dataset, c, count(*) AS n, count(DISTINCT split) AS s FROM x GROUP BY 1, 2) GROUP BY 1""")
+def cross_split_warning(spark, d):
+    return prepare.cross_split_warning(records(spark, d))
+
+
+@query(f"""SELECT dataset, count(*) AS n_test_texts, sum(regexp_matches(t, '[{maps.EMOJI}]')::INT) AS n_emoji_bearing, round(100.0 * avg(regexp_matches(t, '[{maps.EMOJI}]')::INT), 6) AS pct_emoji_bearing FROM ({_T}) WHERE split = 'test' GROUP BY 1""")
+def n10_test_split(spark, d):
+    """Emoji-bearing rows of the whole test splits as shipped."""
+    out = corpus.bearing_rate(records(spark, d).where("split = 'test'"), f"[{maps.EMOJI}]", "dataset")
+    return out.select("dataset", F.col("n_rows").alias("n_test_texts"), F.col("n_bearing").alias("n_emoji_bearing"), F.round(100.0 * F.col("rate"), 6).alias("pct_emoji_bearing"))
+
+
+@query()
+def emoji_coverage(spark, d):
+    """A10 against the pictographs of the Unicode database (categories So and Sk of the symbol blocks)."""
+    import unicodedata
+
+    known = [(chr(i),) for i in [*range(0x2190, 0x2BFF), *range(0x1F000, 0x1FB00)] if unicodedata.category(chr(i)) in ("So", "Sk")]
+    return metrics.emoji_coverage(records(spark, d), spark.createDataFrame(known, "emoji string"))
 
 
-@query(f"SELECT record_id, text IS NOT NULL AND {valid_output(DUCK, 't', 'nfc_normalize(t)')} AS valid, {orphan_nukta(DUCK, 't')} AS orphan FROM ({_T})")
+@query(f"SELECT record_id, text IS NOT NULL AND {independent.valid('t')} AS valid, {independent.orphan('t')} AS orphan FROM ({_T})")
 def is_valid_output(spark, d):
     from ..functions.dialect import SPARK
 

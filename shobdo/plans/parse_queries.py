@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.parse import failures_by_file, parse_lines, rejected, typed
+from ..operators.parse import failures, failures_by_file, parse_lines, typed
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +13,8 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejected(_parsed(spark, sf_dir)).select("line_id", "reason")
+    read = spark.read.parquet
+    return failures(read(f"{sf_dir}/raw_lines.parquet"), read(f"{sf_dir}/file_inventory.parquet"))
 
 
 def p4_typed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,32 @@ def manifest(df: DataFrame, split: str = "final_split") -> DataFrame:
     return df.groupBy("dataset", split).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.sha1("id"), 1, 12), 16, 10).cast("decimal(20,0)")).cast("string").alias("ids_digest"))
 
 
+def write_manifest(df: DataFrame, path: str, seed: int, sources: dict[str, str], leakage: DataFrame | None = None) -> dict:
+    """The manifest as a JSON file: seed, digests of the source files, rows and ids of each split, leakage.
+
+    What the driver gathers is a row a dataset and split."""
+    splits = [r.asDict() for r in manifest(df).orderBy("dataset", "final_split").collect()]
+    found = [r.asDict() for r in leakage.orderBy("dataset").collect()] if leakage is not None else None
+    out = {"seed": seed, "sources": sources, "splits": splits, "leakage": found}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(out, f, ensure_ascii=False, indent=1, sort_keys=True)
+    return out
+
+
+def markdown(df: DataFrame, digits: int = 3) -> str:
+    """A small table as markdown, in the order of its rows."""
+    show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+    rows = [[show(v) for v in r] for r in df.collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
+
+
+def write_table(df: DataFrame, path: str, digits: dict[str, int] | None = None, order: list[str] | None = None) -> None:
+    """A result table as one CSV file with a header, sorted, columns of `digits` with that many decimals."""
+    shown = [F.when(F.col(c).isNull(), "").otherwise(F.format_string(f"%.{digits[c]}f", F.col(c).cast("double"))).alias(c) if digits and c in digits else F.col(c) for c in df.columns]
+    out = df.orderBy(*order) if order else df
+    out.select(*shown).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -76,19 +102,56 @@ def latex_table(rows: DataFrame, index: str, column: str, value: str, digits: in
     return "\n".join(lines)
 
 
+def latex_rows(df: DataFrame, columns: list[str], formats: dict[str, str], order: list[str], bold: str | None = None, within: str | None = None) -> str:
+    """One line a row, numbers by format, the greatest value of `bold` in each group of `within` in bold."""
+    rows = df.orderBy(*order).collect()
+    best: dict = {}
+    for r in rows:
+        if bold and r[bold] is not None:
+            key = r[within] if within else None
+            best[key] = max(best.get(key, r[bold]), r[bold])
+    lines = []
+    for r in rows:
+        cells = []
+        for c in columns:
+            v = "--" if r[c] is None else format(r[c], formats[c]) if c in formats else str(r[c]).replace("_", r"\_")
+            cells.append(rf"\textbf{{{v}}}" if c == bold and r[c] is not None and r[c] == best[r[within] if within else None] else v)
+        lines.append(" & ".join(cells) + r" \\")
+    return "\n".join(lines)
+
+
+def clean_latex(baseline: DataFrame) -> str:
+    """S14 of R2: means and deviations by task, the best model in bold."""
+    return latex_rows(baseline, ["task", "model", "mean", "std", "count"], {"mean": ".3f", "std": ".3f"}, ["task", "model"], "mean", "task")
+
+
+def retention_latex(robustness: DataFrame) -> str:
+    """S14 of R4: mean retention by task and model over noise types."""
+    by = robustness.groupBy("task", "model").agg(F.avg("retention").alias("retention"), F.avg("abs_drop").alias("abs_drop"))
+    return latex_rows(by, ["task", "model", "retention", "abs_drop"], {"retention": ".3f", "abs_drop": ".3f"}, ["task", "model"], "retention", "task")
+
+
+def normalizer_latex(delta: DataFrame) -> str:
+    """S14 of R5."""
+    return latex_rows(delta, ["model", "mean_delta", "sd_delta", "max_abs", "n"], {"mean_delta": "+.4f", "sd_delta": ".4f", "max_abs": ".4f"}, ["model"])
+
+
+def mcnemar_latex(tests: DataFrame) -> str:
+    """S14 of M9."""
+    return latex_rows(tests, ["task", "severity", "only_a", "only_b", "odds_ratio", "p_holm", "winner"], {"odds_ratio": ".2f", "p_holm": ".2e"}, ["task", "severity"])
+
+
 def smoke_path(path: str, limit: int | None, root: str = ".") -> str:
     """Limited runs write below .smoke so that they never mix with whole ones."""
     return os.path.join(root, ".smoke", os.path.relpath(path, root)) if limit else path
 
 
 def should_run(marker: str, meta: str, limit: int | None, force: bool = False) -> bool:
-    """Run unless the marker exists with metadata of a whole run (or none, where this run is whole)."""
-    if force or not os.path.exists(marker) or limit:
+    """Run unless the marker exists with metadata that name a whole run; a marker without metadata proves nothing."""
+    if force or limit or not os.path.exists(marker) or not os.path.exists(meta):
         return True
-    if not os.path.exists(meta):
-        return False
     with open(meta) as f:
-        return bool(json.load(f).get("limited"))
+        return json.load(f).get("limited") is not False
 
 
 def run_stages(names: str, stages: dict[str, Callable[[], int]]) -> int:

@@ -100,5 +100,67 @@ def test_keyboard(spark):
     out = {r.key: r.neighbours for r in adjacency(spark, ["qwe", "asd", "zxc"]).collect()}
     assert out["q"] == ["a", "w"] and out["s"] == ["a", "d", "e", "w", "x", "z"]
     assert all(k in out[n] for k in out for n in out[k])
+    both = {r.key: r.neighbours for r in adjacency(spark, ["ab-", "cd"], ["AB", "cD"]).collect()}
+    assert both["a"] == ["b", "c"] and both["A"] == ["B", "c"] and both["c"] == ["A", "B", "D", "a", "b", "d"] and "-" not in both
     flat = {r.key: r.neighbours for r in adjacency(spark, ["qwe", "asd"], diagonals=False).collect()}
     assert flat["w"] == ["e", "q"]
+
+
+def test_classes_of_characters_by_the_unicode_database(spark):
+    """Characters of the basic plane and the emoji blocks (of an old Unicode, which all engines know) against a plain definition."""
+    import unicodedata
+
+    from shobdo.functions import maps
+    from shobdo.functions.text import char_class_patterns
+
+    def plain(c):
+        if c == "\ufffd":
+            return "replacement"
+        if any(a <= ord(c) <= b for a, b in maps.EMOJI_RANGES):
+            return "emoji"
+        name = unicodedata.name(c, "")
+        if name.startswith("BENGALI "):
+            return "bengali"
+        if name.startswith("LATIN "):
+            return "latin"
+        return "digit" if c.isdigit() else "punctuation" if unicodedata.category(c)[0] == "P" else "whitespace" if c.isspace() else "other"
+
+    chars = [chr(i) for i in [*range(1, 0x3000), *range(0xFE00, 0x10000), *range(0x1F000, 0x1FB00)] if unicodedata.ucd_3_2_0.category(chr(i)) not in ("Cn", "Cs", "Lm", "Nl") and "LATIN" not in unicodedata.name(chr(i), "")[1:]]
+    case = F.lit("other")
+    for k, p in reversed(char_class_patterns().items()):
+        case = F.when(F.col("c").rlike(p), k).otherwise(case)
+    skip = {"\u212a", "\u212b", "\u00aa", "\u00ba"}  # Latin by script, not by name
+    got = {r.c: r.k for r in spark.createDataFrame([(c,) for c in chars if c not in skip], "c string").select("c", case.alias("k")).collect()}
+    assert {c: (k, plain(c)) for c, k in got.items() if k != plain(c) and not (ord(c) >= 0x1D00 and plain(c) == "other" and k == "latin")} == {}
+
+
+def test_mentions_of_every_script(spark):
+    from shobdo.functions.dialect import SPARK
+    from shobdo.functions.text import preprocess
+
+    df = spark.createDataFrame([("ي@ripon @हि x@y _@z (@ক্ষ) কhttps://a.b https://a.b",)], "t string")
+    assert df.select(F.expr(preprocess(SPARK, "t")).alias("c")).first().c == "ي@ripon <USER>ि x@y _@z (<USER>) কhttps://a.b <URL>"
+
+
+def test_ecdf_has_a_step_a_row(spark):
+    df = _records(spark, [("d", "train", "ক" * n) for n in (3, 1, 3, 2)])
+    assert [(r.step, r.n, r.share) for r in corpus.length_ecdf(df).orderBy("step").collect()] == [(1, 1, 0.25), (2, 2, 0.5), (3, 3, 0.75), (4, 3, 1.0)]
+
+
+def test_augmentation_is_compared_with_clean_runs(spark):
+    rows = [("m", v, n, 3, x) for v, n, x in (("clean", "char_insert", 0.5), ("clean", "elongate", 0.7), ("augmented_n1n4", "char_insert", 0.8), ("augmented_n1n4", "elongate", 0.6), ("augmented_n5n8", "elongate", 0.9), ("clean", "whitespace_error", 0.1))]
+    out = {r.condition: r for r in analysis.augmentation_match(spark.createDataFrame(rows, "model string, train_variant string, noise_type string, severity int, macro_f1 double")).collect()}
+    assert math.isclose(out["matched"].augmented_macro_f1, 0.85) and math.isclose(out["matched"].baseline_macro_f1, 0.6)
+    assert math.isclose(out["mismatched"].augmented_macro_f1, 0.6) and math.isclose(out["mismatched"].baseline_macro_f1, 0.6)
+
+
+def test_job_costs(spark):
+    jobs = spark.createDataFrame([("bert", "sentnob", 650, 200), ("char_ngram", "sentnob", 4000, 20000), ("bert", "banfakenews", 650, 200)], "model string, task string, n_train long, n_test long")
+    a, b, c = analysis.job_costs(jobs).collect()
+    assert math.isclose(a.train_seconds, 48) and math.isclose(a.grid_seconds, 46) and math.isclose(a.gpu_h, 94 / 3600)
+    assert math.isclose(b.train_seconds, 1) and math.isclose(b.grid_seconds, 46) and b.gpu_h == 0 and math.isclose(c.grid_seconds, 91)
+
+
+def test_cross_split_warning(spark):
+    df = _records(spark, [("d", "train", "ক খ"), ("d", "test", "ক  খ"), ("d", "test", "ক খ"), ("d", "val", "গ"), ("d", None, "গ")])
+    assert prepare.cross_split_warning(df).first().n_rows_recurring == 3

@@ -44,3 +44,16 @@ def test_classifier_queries_take_every_dataset(spark, tmp_path):
     assert {r["dataset"]: r["count"] for r in predicted} == {"sentnob": 20, "bd_shs": 12, "banfakenews": 12}
     noised = core.QUERIES["augmented_train"](spark, str(tmp_path)).groupBy("dataset", "train_variant").count().collect()
     assert {(r["dataset"], r["train_variant"]): r["count"] for r in noised} == {(d, v): n for d, n in (("sentnob", 40), ("bd_shs", 42), ("banfakenews", 42)) for v in ("augmented_n1n4", "augmented_n5n8")}
+
+
+def test_ngrams_of_short_words_count_once(spark):
+    got = sorted(spark.createDataFrame([("A bc",)], "text string").select(models.char_ngrams().alias("g")).first().g)
+    assert got == sorted([" a", "a ", " a ", " b", "bc", "c ", " bc", "bc ", " bc "])
+
+
+def test_job_runs_once(spark, tmp_path):
+    train = spark.createDataFrame([(f"i{i}", f"{'ভালো সুন্দর' if i % 2 else 'খারাপ বাজে'} {i % 5}", i % 2) for i in range(30)], "id string, text string, label int")
+    path = str(tmp_path / "r")
+    assert models.run_job("char_ngram", "t", 42, "clean", train, train, path, [1], ["char_delete"])
+    assert not models.run_job("char_ngram", "t", 42, "clean", train, train, path, [1], ["char_delete"])
+    assert {(r.noise_type, r.severity) for r in spark.read.parquet(path).collect()} == {("none", 0), ("char_delete", 1)}

@@ -130,3 +130,69 @@ def test_severity_ratios(spark):
     df = spark.createDataFrame([("g", 0.05, 0.10, 0.20, 0.35, 0.50), ("h", 0.05, 0.10, 0.11, 0.35, 0.30)], "g string, s1 double, s2 double, s3 double, s4 double, s5 double")
     out = {r.g: r for r in metrics.severity_ratios(df).collect()}
     assert out["g"].rule_holds_s3plus and out["g"].strictly_increasing and not out["h"].rule_holds_s3plus and not out["h"].strictly_increasing
+
+
+def test_eligible_units_by_plain_rules(spark):
+    """Eligible units of every type, counted by a plain rule over clusters and characters."""
+    texts = [*SENTENCES, "ক", "ক খ", "  কলম   বই ", "ড়য়ঢ় ক্ষ্ম ক্ষ স্ত্র", "কো কৌ অ আ", "a b cc ১২", "\u09be ক \u0981x", ""]
+
+    def plain(t):
+        cl, spans, ws = regex.findall(r"\X", t), [], lambda c: bool(c) and all(x.isspace() for x in c)
+        for i, c in enumerate(cl):
+            if not ws(c):
+                if spans and spans[-1][1] == i:
+                    spans[-1][1] = i + 1
+                else:
+                    spans.append([i, i + 1])
+        long = [b - a for a, b in spans if b - a >= 2]
+        pools = set(maps.CONSONANTS + maps.VOWELS + maps.DIGITS)
+        members = {m for s in maps.HOMOPHONES for m in s}
+        out = {"char_insert": sum(n - 1 for n in long), "char_delete": sum(long), "char_transpose": sum(n - 1 for n in long)}
+        out["char_substitute"] = sum(c[:2] in pools or c[:1] in pools for c in cl)
+        out["homophone_confuse"] = sum(u in members for u in regex.findall(r"(?s).\u09bc|.", t))
+        out["matra_perturb"] = sum(c in maps.DROP_TARGETS for c in t)
+        single = {c for c in maps.CONSONANTS if len(c) == 1}
+        out["conjunct_split"] = sum(c.count("\u09cd") == 1 and 0 < c.index("\u09cd") < len(c) - 1 and c[c.index("\u09cd") - 1] in single and c[c.index("\u09cd") + 1] in single for c in cl)
+        out["elongate"] = sum(any(x in maps.MATRAS or x in maps.VOWELS for x in c) for c in cl)
+        tokens = [regex.findall(r"\X", w) for w in t.split()]
+        out["whitespace_error"] = sum(c[0] not in maps.COMBINING for w in tokens for c in w[1:]) + max(0, len(tokens) - 1)
+        return out
+
+    df = spark.createDataFrame([(i, unicodedata.normalize("NFC", t)) for i, t in enumerate(texts)], "id long, text string")
+    for kind in maps.NOISE_TYPES:
+        got = {r.id: r.n_eligible for r in noise.perturb(df, kind, [1], [1]).collect()}
+        assert got == {i: plain(unicodedata.normalize("NFC", t))[kind] for i, t in enumerate(texts)}, kind
+
+
+def test_deletion_rate_is_the_edit_distance(texts):
+    rows = metrics.deletion_cer(texts, [1, 3, 5], [42])
+    full = {(r.id, r.severity): r.cer for r in metrics.with_distance(noise.perturb(texts, "char_delete", [1, 3, 5], [42]), "t", "noised").collect()}
+    assert {(r.id, r.severity): r.cer for r in rows.collect()} == full
+
+
+def test_applied_of_requested_is_a_mean_of_ratios(spark):
+    df = spark.createDataFrame([("x", 1, 10, 4, 1, False), ("x", 1, 10, 1, 1, False), ("x", 1, 10, 0, 0, True)], "noise_type string, severity int, n_eligible int, n_requested int, n_applied int, unchanged boolean")
+    assert metrics.achieved_rates(df).first().applied_of_requested == 0.625
+
+
+def test_touched_texts_are_described(spark):
+    df = spark.createDataFrame([("d", 1, "ab 12"), ("d", 2, "ক।"), ("d", 3, "same"), ("d", 4, "ﬁx"), ("ALL", 5, "ba")], "g string, id long, text string")
+
+    def normalize(t):
+        return F.when(t == "ab 12", "ba 1").when(t == "ﬁx", "fix").when(t == "ক।", "ক!").when(t == "ba", "ab").otherwise(t)
+
+    out = {(r.g, r.kind): r for r in metrics.touched(df, normalize, "g").collect()}
+    assert set(out) == {("d", "digit, len 5->4"), ("d", "punctuation"), ("d", "unchanged"), ("d", "latin, len 2->3, ==NFKC"), ("ALL", "other")}
+    assert out["d", "unchanged"].touch_rate == 0.75 and out["d", "unchanged"].recommend_drop is False and out["ALL", "other"].recommend_drop is None
+    first = {r.id: r for r in metrics.touch_examples(df, normalize, "g", "id").collect()}
+    assert (first[1].offset_first_diff, first[1].length_before, first[1].length_delta) == (0, 5, -1) and first[2].offset_first_diff == 1
+
+
+def test_emoji_coverage_and_survival(spark, texts):
+    df = spark.createDataFrame([("ভালো 🔥🔥 ⌚",), ("☂",), (None,)], "text string")
+    r = metrics.emoji_coverage(df, spark.createDataFrame([("🔥",), ("⌚",)], "emoji string")).first()
+    assert (r.n_occurrences, r.n_caught_any, r.n_caught_full, r.n_false_positive_codepoints, r.uncaught) == (3, 2, 2, 1, ["⌚"])
+    out = {r.noise_type: r for r in metrics.survival(texts.limit(10), lambda t: F.regexp_replace(t, " ", ""), 3, [42]).collect()}
+    assert len(out) == 9 and out["char_delete"].touch_rate == 1.0 and out["char_delete"].post_normalizer_cer > 0
+    checks = metrics.report_checks(texts.limit(30)).collect()
+    assert len(checks) == 9 and {c.noise_type for c in checks if not (c.deterministic and c.n_invalid == 0 and c.changes)} <= {"conjunct_split"}  # one unit a text, taken half of the time
