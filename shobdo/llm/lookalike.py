@@ -2,7 +2,8 @@
 
 Only 24 bytes a row are kept for the comparison: the id and hashes of the consistent form and of the text.  Groups of
 one form are narrowed by a pre-aggregated min/max of the text hash, so a comment that a third of all rows repeat in one
-spelling costs one partial row a task; only forms with at least two spellings are joined with themselves.
+spelling costs one partial row a task; the distinct spellings of the forms that are left are joined with themselves,
+and their rows are written out at the end, by spelling.  Rows of equal spelling never meet.
 
 Defined results: null, empty and blank texts never pair; equal strings never pair; a null dataset is a dataset.
 """
@@ -39,10 +40,13 @@ def lookalike_pairs(records: DataFrame) -> DataFrame:
     h = cut(_hashed(records))
     mixed = h.groupBy("form_key", "form_check").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi")
     rows = h.join(mixed.select("form_key", "form_check"), ["form_key", "form_check"])
-    a = rows.select("form_key", "form_check", F.col("record_id").alias("a"), F.col("spelling").alias("sa"))
-    b = rows.select("form_key", "form_check", F.col("record_id").alias("b"), F.col("spelling").alias("sb"))
-    pairs = a.join(b, ["form_key", "form_check"]).where("a < b and sa <> sb")
-    return pairs.select(F.col("a").alias("record_a"), F.col("b").alias("record_b"))
+    kinds = rows.select("form_key", "form_check", "spelling").distinct()
+    form = ["form_key", "form_check"]
+    spelled = kinds.withColumnRenamed("spelling", "sa").join(kinds.withColumnRenamed("spelling", "sb"), form).where("sa < sb")
+    a = rows.select(*form, F.col("record_id").alias("a"), F.col("spelling").alias("sa"))
+    b = rows.select(*form, F.col("record_id").alias("b"), F.col("spelling").alias("sb"))
+    pairs = spelled.join(a, [*form, "sa"]).join(b, [*form, "sb"])
+    return pairs.select(F.least("a", "b").alias("record_a"), F.greatest("a", "b").alias("record_b"))
 
 
 def spellings(records: DataFrame) -> DataFrame:
