@@ -84,9 +84,12 @@ def _messages(texts: list[str | None], keys: list[int], base: int, n: int, n_buc
     begin = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
     count = np.diff(np.append(begin, len(gram)))
     hot = np.repeat(count >= HOT, count)
-    for d in np.unique(doc[hot]).tolist():
-        own = hot & (doc == d)
-        rows.append((int(d % n_buckets), 2, gram[own].tobytes(), None, base + d, None, None, None))
+    by = np.argsort(doc[hot], kind="stable")
+    hot_doc, hot_gram = doc[hot][by], gram[hot][by]
+    cuts = np.append(np.flatnonzero(np.append(True, hot_doc[1:] != hot_doc[:-1])), len(hot_doc)) if len(hot_doc) else np.zeros(1, np.int64)
+    for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        d = int(hot_doc[i])
+        rows.append((d % n_buckets, 2, hot_gram[i:j].tobytes(), None, base + d, None, None, None))
     marks = gram[begin[count >= HOT]]
     mark_bucket = (marks % np.uint64(n_buckets)).astype(np.int64)
     for b in np.unique(mark_bucket).tolist():
@@ -94,12 +97,11 @@ def _messages(texts: list[str | None], keys: list[int], base: int, n: int, n_buc
     gram, doc = gram[~hot], doc[~hot]
     bucket = (gram % np.uint64(n_buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
+    # the buckets that the block has something for, however many there are
+    present, cuts = np.unique(bucket[by], return_index=True)
     gram, place = gram[by], doc[by].astype(np.uint16)
-    for b in range(n_buckets):
-        i, j = cuts[b], cuts[b + 1]
-        if i < j:
-            rows.append((b, 0, gram[i:j].tobytes(), place[i:j].tobytes(), base, None, None, None))
+    for b, i, j in zip(present.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(gram)], strict=True):
+        rows.append((b, 0, gram[i:j].tobytes(), place[i:j].tobytes(), base, None, None, None))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MESSAGE_ARROW, strict=True)], schema=_MESSAGE_ARROW)
 
