@@ -29,6 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """A file of the shared folder, written through the file system that the folder names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    try:
+        for i in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[i : i + (1 << 22)]))
+    finally:
+        out.close()
+    return path.toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and cuts the lineage."""
     shared_folder(df.sparkSession)

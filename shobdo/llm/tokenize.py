@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, shared_folder
+from .common import blocks, shared_file
 
 TOKENIZERS = "/opt/tokenizers"
 #: The lexicon's bound: this many units at most are compiled, sent and mapped, whatever the corpus's size.
@@ -176,14 +176,13 @@ def compile_lexicon(unit_list: list[str], vocabulary: str) -> dict[str, np.ndarr
 _PARTS = ("key", "target", "skip", "final", "ids", "offsets")
 
 
-def save_lexicon(parts: dict[str, np.ndarray], path: str) -> None:
+def lexicon_bytes(parts: dict[str, np.ndarray]) -> bytes:
     """Arrays after one another, with a header of their sizes; every array begins at a multiple of 64."""
-    with open(path, "wb") as f:
-        head = np.array([len(parts[p]) for p in _PARTS], np.int64).tobytes()
-        f.write(head.ljust(64, b"\0"))
-        for p in _PARTS:
-            raw = parts[p].tobytes()
-            f.write(raw + b"\0" * (-len(raw) % 64))
+    out = [np.array([len(parts[p]) for p in _PARTS], np.int64).tobytes().ljust(64, b"\0")]
+    for p in _PARTS:
+        raw = parts[p].tobytes()
+        out.append(raw + b"\0" * (-len(raw) % 64))
+    return b"".join(out)
 
 
 _TYPES = {"key": np.int64, "target": np.int32, "skip": np.int32, "final": np.bool_, "ids": np.int32, "offsets": np.int64}
@@ -243,10 +242,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k
     if lexicon_words:
         top = [r.unit for r in frequent_units(docs, lexicon_words).select("unit").collect()]  # bounded by lexicon_words
         name = f"lexicon-{uuid.uuid4().hex}.bin"
-        folder = shared_folder(spark).removeprefix("file://")
-        os.makedirs(folder, exist_ok=True)
-        save_lexicon(compile_lexicon(top, vocabulary), os.path.join(folder, name))
-        spark.sparkContext.addFile(os.path.join(folder, name))
+        spark.sparkContext.addFile(shared_file(spark, name, lexicon_bytes(compile_lexicon(top, vocabulary))))
 
     def encode(batches):
         lexicon = map_lexicon(SparkFiles.get(name)) if name else None
