@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import cut, text_blocks
 from .consistent import Words
 
 GRADES = 5
@@ -73,14 +73,14 @@ def _count(batches):
 class GradeModel:
     """Log-probabilities of words, word lengths and sentence lengths by grade."""
 
-    def __init__(self, priors: np.ndarray, words: np.ndarray, word_length: np.ndarray, counts: np.ndarray, lengths: np.ndarray, sentences: np.ndarray):
+    def __init__(self, priors: np.ndarray, words: np.ndarray, word_length: np.ndarray, counts: np.ndarray, lengths: np.ndarray, sentences: np.ndarray, strength: float = PRIOR):
         total = np.maximum(counts.sum(0), lengths.sum(0))  # words beyond the kept ones count as well
         p_length = (lengths + 0.5) / (lengths + 0.5).sum(0)
         everyday = lengths.sum(1) + 0.5
         given = counts.sum(1) / everyday[word_length]  # the corpus's probability of a word given its length
         order = np.argsort(words)
         self.words = words[order]
-        smoothed = (counts + PRIOR * p_length[word_length] * given[:, None]) / (total + PRIOR)
+        smoothed = (counts + strength * p_length[word_length] * given[:, None]) / (total + strength)
         # relative to the length's probability, so that all words can start from their length
         self.extra = (np.log(smoothed) - np.log(p_length[word_length]) - np.log(given)[:, None])[order].astype(np.float32)
         self.lengths = np.log(p_length)
@@ -116,11 +116,11 @@ def _seeded(docs: DataFrame, most: int) -> DataFrame:
     return few.select("text", level.alias("grade"))
 
 
-def train(docs: DataFrame, grades: DataFrame, most_labelled: int = MOST_LABELLED, most_words: int = MOST_WORDS) -> GradeModel:
+def train(docs: DataFrame, grades: DataFrame, most_labelled: int = MOST_LABELLED, most_words: int = MOST_WORDS, strength: float = PRIOR) -> GradeModel:
     """The model of labelled documents; its counts are summed before they reach the driver and are bounded."""
-    texts = _labelled(docs, grades, most_labelled)
+    texts = cut(_labelled(docs, grades, most_labelled))  # read once, counted twice
     if texts.isEmpty():
-        texts = _seeded(docs, most_labelled)
+        texts = cut(_seeded(docs, most_labelled))
     counted = texts.mapInArrow(_count, "kind int, value bigint, length bigint, grade bigint, n bigint")
     wide = counted.groupBy("kind", "value").agg(F.max("length").alias("length"), *(F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"g{g}") for g in range(1, GRADES + 1)))
     total = sum((F.col(f"g{g}") for g in range(2, GRADES + 1)), F.col("g1"))
@@ -134,7 +134,7 @@ def train(docs: DataFrame, grades: DataFrame, most_labelled: int = MOST_LABELLED
     for r in texts.groupBy("grade").count().collect():
         priors[r.grade - 1] = r["count"]
     words = kind == 0
-    return GradeModel(priors, value[words].view(np.uint64), length[words], counts[words], lengths, sentences)
+    return GradeModel(priors, value[words].view(np.uint64), length[words], counts[words], lengths, sentences, strength)
 
 
 def reading_levels(docs: DataFrame, model: GradeModel) -> DataFrame:

@@ -37,3 +37,23 @@ def test_levels_follow_labels(spark):
     seeded = {r.doc_id: r.level for r in reading_levels(docs, train(docs, grades.limit(0))).collect()}
     assert seeded[0] > seeded[1]
     assert reading_levels(docs.limit(0), train(docs.limit(0), grades)).count() == 0
+
+
+TABLES = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.exists(TABLES), reason="no test data")
+def test_held_out_agreement(spark):
+    """A fifth of the grades is held out: the levels agree with them better than those of word lengths alone."""
+    from pyspark.sql import functions as F
+
+    docs, grades = spark.read.parquet(f"{TABLES}/documents.parquet"), spark.read.parquet(f"{TABLES}/reading_grades.parquet")
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0
+    model = train(docs, grades.where(~held))
+    test = grades.where(held & F.col("grade").between(1, 5)).join(docs.select("doc_id", "text"), "doc_id").where("trim(text) <> ''").toPandas()
+    agree = lambda: (model.scores(test.text.tolist()).argmax(1) + 1 == test.grade).mean()
+    full = agree()
+    model.words = model.words[:0]
+    lengths_and_sentences = agree()
+    model.sentences[:] = 0
+    assert full > 0.72 and full >= lengths_and_sentences - 0.02 and full > agree() + 0.02
