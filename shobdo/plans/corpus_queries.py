@@ -193,7 +193,7 @@ _METRICS = [*_NAMES.split(", "), *(f"pct_{c}" for c in maps.CHAR_CLASSES)]
 
 
 @query(f"WITH a AS ({_RAW_Q}), b AS ({_FIN_Q}) " + " UNION ALL ".join(
-    f"SELECT dataset, '{m}' AS metric, a.{m}::DOUBLE AS raw_value, b.{m}::DOUBLE AS final_value, round((b.{m} - a.{m})::DOUBLE, 5) AS delta, round(CASE WHEN a.{m} = 0 THEN 0 ELSE 100.0 * b.{m} / a.{m} END, 3) AS pct_of_raw FROM a JOIN b USING (dataset)" for m in _METRICS))
+    f"SELECT dataset, '{m}' AS metric, a.{m}::DOUBLE AS raw_value, b.{m}::DOUBLE AS final_value, round((b.{m} - a.{m})::DOUBLE, 6) AS delta, round(CASE WHEN a.{m} = 0 THEN 0 ELSE 100.0 * b.{m} / a.{m} END, 3) AS pct_of_raw FROM a JOIN b USING (dataset)" for m in _METRICS))
 def raw_final_delta(spark, d):
     rows = records(spark, d)
     final = prepare.cleaned_all(rows, "clean_text").where("verdict = ''").select("dataset", F.col("clean_text").alias("text"))
@@ -202,7 +202,7 @@ def raw_final_delta(spark, d):
         return corpus.with_class_percent(corpus.quality_inventory(df, "dataset"), corpus.char_class_composition(df)).select("dataset", *(F.round(m, 6).alias(m) if m.startswith("pct") else m for m in _METRICS))
 
     out = corpus.raw_final_delta(full(rows), full(final), "dataset")
-    return out.withColumns({"pct_of_raw": F.round("pct_of_raw", 3), "delta": F.round("delta", 5)})
+    return out.withColumns({"pct_of_raw": F.round("pct_of_raw", 3), "delta": F.round("delta", 6)})
 
 
 @query("WITH s AS (SELECT dataset, " + ", ".join(f"sum({e}) AS {c}" for c, e in _CLASSES.items()) + f", sum(length(t)) AS total FROM ({_T}) GROUP BY dataset) SELECT dataset, "
