@@ -219,7 +219,9 @@ def deletion_cer(texts: DataFrame, severities: list[int], seeds: list[int]) -> D
     """Noised rows of deletion noise with their error rate.  What remains is a subsequence of the text's clusters, so if it still has as
     many clusters as were left, the distance is the number deleted; only where clusters have joined is it computed."""
     own = texts.withColumn("text", nfc("text")).withColumn("_n", F.regexp_count("text", F.lit(maps.CLUSTER)))
-    rows = perturb(own, "char_delete", severities, seeds).withColumn("_left", F.regexp_count("noised", F.lit(maps.CLUSTER)))
-    plain = rows.where("_left = _n - n_applied").withColumn("cer", F.col("n_applied") / F.greatest(F.lit(1), F.col("_n")).cast("double"))
-    joined = with_distance(rows.where("_left <> _n - n_applied"), "t", "noised").drop("distance")
-    return plain.unionByName(joined).drop("_n", "_left")
+    rows = perturb(own, "char_delete", severities, seeds)
+    rows = rows.withColumn("_plain", F.regexp_count("noised", F.lit(maps.CLUSTER)) == F.col("_n") - F.col("n_applied"))
+    # one pass: where the distance is known, two empty texts are compared
+    rest = with_distance(rows.withColumns({"_a": F.when(~F.col("_plain"), F.col("t")).otherwise(""), "_b": F.when(~F.col("_plain"), F.col("noised")).otherwise("")}), "_a", "_b")
+    known = F.col("n_applied") / F.greatest(F.lit(1), F.col("_n")).cast("double")
+    return rest.withColumn("cer", F.when(F.col("_plain"), known).otherwise(F.col("cer"))).drop("_n", "_plain", "_a", "_b", "distance")
