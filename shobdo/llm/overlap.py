@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -518,6 +518,12 @@ class CrossSplitOverlap:
         pairs = near.join(x, "ref").join(y, "other").where("x <> y").select("x", "y", "bx", "by", "covered", "longer")
         pairs = pairs.mapInArrow(_possible, "x bigint, y bigint, covered int")
         self.candidates = written(pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("covered").alias("covered")), "candidates")
+        self.records = records
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """x, y, distance, covered: the candidates within the distance (checkpointed, so that their texts can be deleted)."""
+        records = self.records
         ends = self.candidates.select(F.col("x").alias("class_key")).unionByName(self.candidates.select(F.col("y").alias("class_key"))).distinct()
         reps = ends.join(self.members.groupBy("class_key").agg(F.min("record_id").alias("record_id")), "class_key")
         reps = written(reps.select("record_id", "class_key"), "representatives")
@@ -528,8 +534,9 @@ class CrossSplitOverlap:
         most = F.floor(F.lit(MOST_EDITS) * longer + 1e-9).cast("int")
         full = full.withColumn("most", most).where(F.abs(F.length("tx") - F.length("ty")) <= F.col("most"))
         distance = F.expr("levenshtein(tx, ty, most)")
-        self.links = cut(full.withColumn("distance", distance).where("distance >= 0").select("x", "y", "distance", "covered"))
+        out = cut(full.withColumn("distance", distance).where("distance >= 0").select("x", "y", "distance", "covered"))
         dropped(reps, texts)
+        return out
 
     def pairs(self) -> DataFrame:
         """record_a < record_b, distance: one in train and one in val or test, classes written out."""

@@ -81,6 +81,12 @@ def test_cross_split_overlap_equals_brute_force(spark):
         if (a[1] or "") == (b[1] or "") and (a[2] == "train") != (b[2] == "train") and _distance(x, y) <= 0.15 * max(len(x), len(y)):
             want.add((min(a[0], b[0]), max(a[0], b[0])))
     assert {(r.record_a, r.record_b) for r in CrossSplitOverlap(df).pairs().collect()} == want and len(want) > 230
+    # other partitions, and heavy m-grams dealt to grids of them, change nothing
+    spread = CrossSplitOverlap(df, n_buckets=130, heavy=8)
+    assert {(r.record_a, r.record_b) for r in spread.pairs().collect()} == want
+    classes = {r.record_id: r for r in spread.classes().collect()}
+    assert set(classes) == {r[0] for r, _ in live} and sum(r.n_links > 0 for r in classes.values()) > 10
+    assert all(r.distance > 0 and r.covered > 0 for r in spread.class_links().collect())
     report = overlap_report(df).collect()
     assert sum(r.n_rows for r in report) == sum(r[2] in ("val", "test") for r in rows) and all(r.n_equal <= r.n_overlapping <= r.n_rows for r in report)
     assert CrossSplitOverlap(df.limit(0)).pairs().count() == 0
