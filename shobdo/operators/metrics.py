@@ -72,17 +72,31 @@ def severity_ratios(means: DataFrame) -> DataFrame:
     return out.withColumn("rule_holds_s3plus", holds).withColumn("strictly_increasing", rising)
 
 
+def rate_terms(noised: DataFrame) -> DataFrame:
+    """The sums of the rates over rows of perturb with eligible units, as rates.rate_sums has them without noised texts."""
+    frac = F.element_at(F.create_map(*[F.lit(x) for kv in maps.FRACTIONS.items() for x in kv]), F.col("severity"))
+    asking, one = F.col("n_requested") > 0, F.lit(1).cast("long")
+    return noised.where("n_eligible > 0").select(
+        "noise_type", "severity", one.alias("n_texts"), F.col("n_eligible").alias("eligible"), F.col("n_requested").alias("requested"), F.col("n_applied").alias("applied"), asking.cast("long").alias("n_asking"),
+        F.when(asking, F.col("n_applied") / F.col("n_requested")).otherwise(F.lit(0.0)).alias("ratios"), (F.col("n_eligible") * frac).alias("nominal"), (~F.col("unchanged")).cast("long").alias("changed"),
+    )
+
+
 def achieved_rates(noised: DataFrame) -> DataFrame:
     """A7, A27 by type and severity, over rows with eligible units; applied_of_requested is the mean of the rows' own
     ratios, rows that ask for nothing left out (1 where all do), the other rates are ratios of means."""
-    frac = F.element_at(F.create_map(*[F.lit(x) for kv in maps.FRACTIONS.items() for x in kv]), F.col("severity"))
-    e = noised.where("n_eligible > 0").withColumn("frac", frac)
-    return e.groupBy("noise_type", "severity").agg(
-        F.count("*").alias("n_texts"), F.avg("n_eligible").alias("mean_eligible"), F.avg("n_requested").alias("mean_requested"), F.avg("n_applied").alias("mean_applied"),
-        F.coalesce(F.avg(F.when(F.col("n_requested") > 0, F.col("n_applied") / F.col("n_requested"))), F.lit(1.0)).alias("applied_of_requested"),
-        (F.sum("n_requested") / F.sum(F.col("n_eligible") * F.col("frac"))).alias("requested_of_nominal"),
-        (F.sum("n_applied") / F.sum("n_eligible")).alias("achieved"),
-        F.avg((~F.col("unchanged")).cast("int")).alias("changed"),
+    return rates_of(rate_terms(noised))
+
+
+def rates_of(terms: DataFrame) -> DataFrame:
+    """achieved_rates from the sums of any parts of the rows."""
+    s = F.sum
+    return terms.groupBy("noise_type", "severity").agg(
+        s("n_texts").alias("n_texts"), (s("eligible") / s("n_texts")).alias("mean_eligible"), (s("requested") / s("n_texts")).alias("mean_requested"), (s("applied") / s("n_texts")).alias("mean_applied"),
+        F.coalesce(F.try_divide(s("ratios"), s("n_asking")), F.lit(1.0)).alias("applied_of_requested"),
+        (s("requested") / s("nominal")).alias("requested_of_nominal"),
+        (s("applied") / s("eligible")).alias("achieved"),
+        (s("changed") / s("n_texts")).alias("changed"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maps
 from ..functions.dialect import DUCK, nested
-from ..operators import analysis, evaluate, metrics, noise, prepare
+from ..operators import analysis, evaluate, metrics, noise, prepare, rates
 from . import independent
 from .noise_queries import records
 
@@ -353,7 +353,7 @@ def _noised_sql(noise_type: str) -> str:
        "round(sum(n_applied) / sum(n_eligible)::DOUBLE, 9) AS achieved, round(avg((NOT unchanged)::INT), 9) AS changed FROM (" + " UNION ALL ".join(map(_noised_sql, maps.NOISE_TYPES)) + ") WHERE n_eligible > 0 GROUP BY 1, 2")
 def achieved_rate(spark, d):
     texts = records(spark, d).select("text").where("text is not null")
-    out = metrics.achieved_rates(metrics.all_types(texts, [1, 2, 3, 4, 5], [42]))
+    out = metrics.rates_of(rates.rate_sums(texts, [1, 2, 3, 4, 5], [42]))
     return rounded(out, "mean_eligible", "mean_requested", "mean_applied", "applied_of_requested", "requested_of_nominal", "achieved", "changed")
 
 
