@@ -31,7 +31,11 @@ def confusion(preds: DataFrame, *cell: str) -> DataFrame:
 
 def per_class(preds: DataFrame, *cell: str) -> DataFrame:
     """M1: precision, recall, f1, support, predicted of every class that occurs as true or predicted."""
-    c = confusion(preds, *cell)
+    return per_class_of(confusion(preds, *cell), *cell)
+
+
+def per_class_of(c: DataFrame, *cell: str) -> DataFrame:
+    """per_class from confusion counts, in any parts."""
     z = F.lit(0).cast("long")
     rows = c.select(*cell, F.inline(F.array(
         F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"), z.alias("predicted"), F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(z).alias("tp")),
@@ -46,7 +50,12 @@ def per_class(preds: DataFrame, *cell: str) -> DataFrame:
 
 def summary(preds: DataFrame, *cell: str) -> DataFrame:
     """M2 to M4, M6 by cell."""
-    k = per_class(preds, *cell)
+    return summary_of(confusion(preds, *cell), *cell)
+
+
+def summary_of(counts: DataFrame, *cell: str) -> DataFrame:
+    """summary from confusion counts, in any parts."""
+    k = per_class_of(counts, *cell)
     s, c = F.sum("support").cast("double"), F.sum("tp").cast("double")
     pt, pp, tt = (F.sum(F.col(a).cast("double") * F.col(b)) for a, b in (("predicted", "support"), ("predicted", "predicted"), ("support", "support")))
     mcc = F.coalesce(F.try_divide(c * s - pt, F.sqrt((s * s - pp) * (s * s - tt))), F.lit(0.0))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import maps
 from .evaluate import summary
@@ -31,6 +35,30 @@ def char_ngrams(text: str = "text", low: int = 2, high: int = 5):
     return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*(grams(w, n) for n in range(low, high + 1))))))
 
 
+#: What (?U)\s+ matches
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+@lru_cache(1 << 17)
+def _word_ngrams(word: str, low: int, high: int) -> tuple[str, ...]:
+    padded = f" {word} "
+    return tuple(padded[i : i + n] for n in range(low, high + 1) for i in range(len(padded) - n + 1)) or (padded,)
+
+
+def with_ngrams(df: DataFrame, text: str = "text", low: int = 2, high: int = 5) -> DataFrame:
+    """The rows with char_ngrams as grams in place of text, words being cut once a worker."""
+    rest = [c for c in df.columns if c != text]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                lists = [[g for w in _BLANKS.split((x or "").lower()) if w for g in _word_ngrams(w, low, high)] for x in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), *(part.column(c) for c in rest)], ["grams", *rest])
+
+    return df.mapInArrow(cut, T.StructType([T.StructField("grams", T.ArrayType(T.StringType())), *(df.schema[c] for c in rest)]))
+
+
 #: Training rows that one task holds
 ROWS_A_TASK = 5_000
 
@@ -47,7 +75,7 @@ def fit(train: DataFrame, vocabulary: int = ALL_NGRAMS, iterations: int = 20) ->
     weighted = train.join(F.broadcast(labels.withColumn("weight", F.lit(n) / (k * F.col("count"))).drop("count")), "label")  # a row a class
     # features once, in few partitions: every iteration of every class reads them
     parts = max(1, min(weighted.rdd.getNumPartitions(), n // ROWS_A_TASK + 1))
-    grams = weighted.withColumn("grams", char_ngrams()).select("grams", F.col("label").cast("double").alias("label"), "weight").coalesce(parts)
+    grams = with_ngrams(weighted.select("text", F.col("label").cast("double").alias("label"), "weight")).coalesce(parts)
     counted = Pipeline(stages=[CountVectorizer(inputCol="grams", outputCol="tf", minDF=2.0, vocabSize=vocabulary), IDF(inputCol="tf", outputCol="unused")]).fit(grams)
     # the library's weights are ln((n + 1) / (df + 1)); the smoothed ones are greater by one
     weights = ElementwiseProduct(scalingVec=Vectors.dense(counted.stages[1].idf.toArray() + 1.0), inputCol="tf", outputCol="tfidf")

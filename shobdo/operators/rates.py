@@ -156,6 +156,41 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(k)) + (first - np.cumsum(n) + n)[k], k
 
 
+_TOP = np.uint64(2**64 - 1)
+
+
+def taken(cell: np.ndarray, h: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Whether a hash is among the least of its cell: k of n; at most 65,536 cells, each with one or more to take."""
+    ends = np.cumsum(n)
+    at = ends - n + k  # behind the last that is taken
+    packed = (cell.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+    ordered = np.sort(packed)
+    if np.any(ordered[at - 1][at < ends] == ordered[at[at < ends]]):  # 48 bits do not tell them apart
+        out = np.empty(len(h), bool)
+        out[np.lexsort((h, cell))] = np.arange(len(h)) < np.repeat(at, n)
+        return out
+    return packed <= ordered[at - 1][cell]
+
+
+def picked_pairs(u: np.ndarray, cell: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which pairs (u, u + 1) are picked, in the order of their hashes, unless a neighbour was."""
+    follows = np.append(False, (np.diff(u) == 1) & (np.diff(cell) == 0))  # the pair before is a neighbour
+    picked, open_, at = np.zeros(len(u), bool), np.ones(len(u), bool), np.arange(len(u))
+    while len(at):
+        # all pairs before both of their open neighbours are picked, as in the order of hashes they would be
+        left = np.where(follows[at] & open_[at - 1], h[at - 1], _TOP)
+        after = np.minimum(at + 1, len(u) - 1)
+        right = np.where((at + 1 < len(u)) & follows[after] & open_[after], h[after], _TOP)
+        won = at[(h[at] < left) & (h[at] <= right) | ((left == _TOP) & (right == _TOP))]
+        picked[won] = True
+        open_[won] = False
+        open_[won[follows[won]] - 1] = False
+        after = won[won + 1 < len(u)] + 1
+        open_[after[follows[after]]] = False
+        at = at[open_[at]]
+    return picked
+
+
 class Units:
     """Clusters and eligible units of some NFC texts."""
 
@@ -215,13 +250,13 @@ class Units:
     def _letters(self, x: np.ndarray) -> np.ndarray:
         return self._sums(x, self.at)
 
-    def requested(self, noise_type: str, severity: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """n_requested by text; the texts whose key was needed, and its states."""
+    def requested(self, noise_type: str, severity: int, seed: int, keys: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n_requested by text; the texts whose key was needed (all with eligible units for keys), and its states."""
         n = self.eligible[noise_type]
         share = n * fraction(severity)
         whole = np.floor(share)
         needed = n > 0
-        if noise_type != "char_delete" and noise_type != "char_transpose":
+        if not keys and noise_type not in ("char_delete", "char_transpose"):
             needed = needed & (share > whole)
         rows = np.flatnonzero(needed)
         states = _keys(f"{seed}\x1f{noise_type}\x1f{severity}\x1f", self.bytes, rows)
@@ -248,16 +283,7 @@ class Units:
             lane, cell = _ranges(offset[own], n[own])
             u = place[lane]
             h = _hashes(states, key[cell], _places(1 << int(max(self.lengths())).bit_length()), u - self.first[own][cell] - 1)
-            ends = np.cumsum(n[own])
-            at = ends - n[own] + requested[own]  # behind the last that is taken
-            packed = (cell.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
-            ordered = np.sort(packed)
-            if np.any(ordered[at - 1][at < ends] == ordered[at[at < ends]]):  # 48 bits do not tell them apart
-                order = np.lexsort((h, cell))
-                gone = np.empty(len(h), bool)
-                gone[order] = np.arange(len(h)) < np.repeat(at, n[own])
-            else:
-                gone = packed <= ordered[at - 1][cell]
+            gone = taken(cell, h, n[own], requested[own])
             begin = np.flatnonzero(new[lane])
             full = np.logical_and.reduceat(gone, begin)
             applied[own] -= np.bincount(cell[begin[full]], minlength=len(own))
@@ -297,22 +323,7 @@ class Units:
         lane, cell = _ranges(offset[own], n[own])
         u = place[lane]
         h = _hashes(states, some[cell], _places(1 << int(max(self.lengths())).bit_length()), u - self.first[own][cell] - 1)
-        follows = np.append(False, (np.diff(u) == 1) & (np.diff(cell) == 0))  # the pair before is a neighbour
-        picked, open_ = np.zeros(len(u), bool), np.ones(len(u), bool)
-        top = np.uint64(2**64 - 1)
-        at = np.arange(len(u))
-        while len(at):
-            # all pairs before both of their open neighbours are picked, as in the order of hashes they would be
-            left = np.where(follows[at] & open_[at - 1], h[at - 1], top)
-            right_at = np.minimum(at + 1, len(u) - 1)
-            right = np.where((at + 1 < len(u)) & follows[right_at] & open_[right_at], h[right_at], top)
-            won = at[(h[at] < left) & (h[at] <= right) | ((left == top) & (right == top))]
-            picked[won] = True
-            open_[won] = False
-            open_[won[follows[won]] - 1] = False
-            after = won[won + 1 < len(u)] + 1
-            open_[after[follows[after]]] = False
-            at = at[open_[at]]
+        picked, top = picked_pairs(u, cell, h), _TOP
         size = np.bincount(cell[picked], minlength=len(own))
         applied[own] = np.minimum(requested[own], size)
         real = picked & ~self._equal[u]

@@ -437,31 +437,35 @@ def _labelled(spark, d, split: str):
 
 
 def _by_dataset(spark, d, result):
-    """result(test rows, predictor) of every dataset, each with a classifier of its own."""
+    """result(test rows, model) of every dataset, each with a classifier of its own."""
     from ..operators import models
 
-    train, test = _labelled(spark, d, "train"), _labelled(spark, d, "test")
+    # every classifier reads its rows some times
+    train, test = _labelled(spark, d, "train").persist(), _labelled(spark, d, "test").persist()
     out = None
     for (name,) in sorted(train.select("dataset").distinct().collect()):  # a few corpora
         own = F.col("dataset") == name
-        predict = models.predictor(models.fit(train.where(own).drop("dataset")))
-        part = result(test.where(own).drop("dataset"), predict).withColumn("dataset", F.lit(name))
+        model = models.fit(train.where(own).drop("dataset"))
+        part = result(test.where(own).drop("dataset"), model).withColumn("dataset", F.lit(name))
         out = part if out is None else out.unionByName(part)
+    train.unpersist()
     return out
 
 
 @query()
 def char_ngram_svm(spark, d):
     """Predictions of the n-gram classifier on the test split of every dataset."""
-    return _by_dataset(spark, d, lambda test, predict: predict(test).select("id", F.col("label").alias("y_true"), "y_pred"))
+    from ..operators import models
+
+    return _by_dataset(spark, d, lambda test, model: models.predictor(model)(test).select("id", F.col("label").alias("y_true"), "y_pred"))
 
 
 @query()
 def noise_grid_eval(spark, d):
-    """Its metrics by dataset on clean text and on every noise type at severities 1 to 5, one plan."""
-    from ..operators import models
+    """Its metrics by dataset on clean text and on every noise type at severities 1 to 5, one pass over the test texts."""
+    from ..operators import grid
 
-    return _by_dataset(spark, d, lambda test, predict: models.evaluate_grid(test, predict, [1, 2, 3, 4, 5], 42))
+    return _by_dataset(spark, d, lambda test, model: evaluate.summary_of(grid.grid_confusion(test, model, [1, 2, 3, 4, 5], 42), "noise_type", "severity"))
 
 
 @query()
